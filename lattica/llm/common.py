@@ -41,8 +41,7 @@ def drop_tables(spark: SparkSession, *dfs: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df: the file sizes for a scan, no job is run."""
-    n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(n.toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, mb: float = 16.0) -> int:
