@@ -4,7 +4,8 @@ Base patterns are leftmost and non-overlapping for each kind.  Positions come fr
 the text at the pattern: the lengths of the gaps and of the matches add up to offsets in
 code points.
 
-The method looks at every run of 20 or more token characters that no base span touches.
+The method looks at every run of 20 or more token characters, a letter among them, that no
+base span touches.
 Its encoding is inferred (hexadecimal, base 32, base 62, base 64), characters become
 numbers of that alphabet, and three tests ask whether the run could be uniformly random:
 chi-squared over four bins of the alphabet, Wald-Wolfowitz runs about the middle, and lag-1
@@ -48,16 +49,16 @@ _SPAN = "struct<s:int,o:int,e:int,kind:string>"
 
 def _spans(found: str, gaps: str, sizes: str, kind: str, order: int, least: int) -> Column:
     """Spans of the matches whose measured group has ``least`` characters or more."""
+    start = f"a.at + length(x.{gaps})"
+    end = f"{start} + length(x.{found})"
+    span = f"named_struct('s', {start}, 'o', {order}, 'e', {end}, 'kind', '{kind}')"
     return F.expr(f"""
         if(size({found}) = 0, cast(array() as array<{_SPAN}>),
-          aggregate(arrays_zip({gaps} as g, {found} as m, {sizes} as k),
+          aggregate(arrays_zip({gaps}, {found}, {sizes}),
             named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-            (a, x) -> if(x.m is null, a, named_struct(
-              'at', a.at + length(x.g) + length(x.m),
-              'out', if(length(x.k) >= {least},
-                concat(a.out, array(named_struct('s', a.at + length(x.g), 'o', {order}, 'e', a.at + length(x.g) + length(x.m), 'kind', '{kind}'))),
-                a.out))),
-            a -> a.out))""".replace("arrays_zip(", "arrays_zip(").replace(" as g,", ",").replace(" as m,", ",").replace(" as k)", ")").replace("x.g", f"x.{gaps}").replace("x.m", f"x.{found}").replace("x.k", f"x.{sizes}"))
+            (a, x) -> if(x.{found} is null, a,
+              named_struct('at', {end}, 'out', if(length(x.{sizes}) >= {least}, concat(a.out, array({span})), a.out))),
+            a -> a.out))""")
 
 
 def _upper_tail(z: str) -> str:
@@ -118,7 +119,7 @@ def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     base = F.array_sort(F.concat(*(f"__s{i}" for i in range(last))))
     open_runs = F.expr(f"""if(size(__s{last}) = 0, cast(array() as array<struct<t:string,span:{_SPAN}>>),
         filter(transform(__s{last}, (x, i) -> named_struct('t', __m{last}[i], 'span', x)),
-          y -> not exists(__base, b -> b.s < y.span.e and y.span.s < b.e)))""")
+          y -> y.t rlike '[A-Za-z]' and not exists(__base, b -> b.s < y.span.e and y.span.s < b.e)))""")
     runs = spans.withColumn("__base", base).withColumn("__runs", open_runs)
     scored = runs.withColumn("__p", F.expr(f"transform(__runs, r -> named_struct('span', r.span, 'p', {randomness('r.t')}, 'n', cast(length(r.t) as double)))"))
     weighted = scored.withColumn("__q", F.expr("transform(__p, x -> x.p * aggregate(__p, 0D, (s, y) -> s + y.n) / size(__p) / x.n)"))
@@ -144,14 +145,17 @@ def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mar
 
     Overlapping spans become one mark.  Null texts stay null; all columns stay.
     """
-    others = tuple(c for c in df.columns if c != text_col)
-    found = find_secrets(df.withColumn("__null", F.col(text_col).isNull()), id_col=id_col, text_col=text_col, keep=("__null", *others))
+    marked = df.withColumn("__row", F.struct(*df.columns))
+    found = find_secrets(marked, id_col=id_col, text_col=text_col, keep=("__row",))
     clean = F.expr(f"""if(size(spans) = 0, __text, aggregate(spans, named_struct('at', 0, 'out', ''),
         (a, x) -> if(x.s >= a.at,
           named_struct('at', x.e, 'out', concat(a.out, substr(__text, a.at + 1, x.s - a.at), '{mark}')),
           named_struct('at', greatest(a.at, x.e), 'out', a.out)),
         a -> concat(a.out, substr(__text, a.at + 1))))""")
-    return found, clean
+    text = F.when(F.col(f"__row.{text_col}").isNotNull(), clean)
+    out = found.withColumn("__clean", text)
+    changed = {text_col: F.col("__clean"), "n_chars": F.when(F.size("spans") > 0, F.length("__clean").cast("long")).otherwise(F.col("__row.n_chars")) if "n_chars" in df.columns else None}
+    return out.select(*((changed[c] if c in changed else F.col("__row")[c]).alias(c) for c in df.columns))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
