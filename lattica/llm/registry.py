@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .html_text import op7_html_text
 from .packing import op2_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -11,6 +12,7 @@ from .secret_scan import op10_secret_scan
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op7_html_text": op7_html_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
