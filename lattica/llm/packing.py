@@ -31,8 +31,7 @@ END_ID = 1
 LENGTH = 2048
 BITS = 10
 #: Letters of one script block that lower-case to one letter each, then ASCII marks.
-_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\\[-`{-~]*").fullmatch
-_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]").match
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)?([!-&(-/:-@\\[-`{-~]+)?").fullmatch
 
 
 def default_path() -> str:
@@ -59,34 +58,40 @@ class WordBpe:
             raise ValueError("the vocabulary has ids beyond 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache = ChunkCache(self._fill)
+        self.cache = ChunkCache(self._fill, 500_000)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _fill(self, chunks: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        simple, other = [], []
-        for c in chunks:
-            (simple if c and _SIMPLE(c) else other).append(c)
-        for group in (simple[i : i + 500] for i in range(0, len(simple), 500)):
-            ids = self._encode([" ".join(group)])[0]
-            words = np.array([(_LETTER(c) is not None) + (_LETTER(c[-1]) is None) for c in group])
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != words.sum():
-                other += group
+        out = [b""] * len(chunks)
+        at, simple, counts, other = [], [], [], []
+        for i, c in enumerate(chunks):
+            m = _SIMPLE(c)
+            if m and c:
+                at.append(i)
+                simple.append(c)
+                counts.append(m.lastindex - (m.start(1) < 0))
+            else:
+                other.append(i)
+        for k in range(0, len(simple), 500):
+            ids = self._encode([" ".join(simple[k : k + 500])])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            words = np.cumsum(counts[k : k + 500])
+            if len(ends) != words[-1]:
+                other += at[k : k + 500]
                 continue
-            cuts = at[np.cumsum(words) - 1]
-            raw, first = ids.tobytes(), 0
-            for c, cut in zip(group, (cuts * 2).tolist(), strict=True):
-                out[c] = raw[first:cut]
-                first = cut
-        out.update(zip(other, (x.tobytes() for x in self._encode(other)), strict=True))
-        return [out[c] for c in chunks]
+            raw, begin = ids.tobytes(), 0
+            for i, end in zip(at[k : k + 500], (ends[words - 1] * 2).tolist(), strict=True):
+                out[i] = raw[begin:end]
+                begin = end
+        for i, x in zip(other, self._encode([chunks[i] for i in other]), strict=True):
+            out[i] = x.tobytes()
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        for a, b in text_groups(texts):
+        for a, b in text_groups(texts, 3_000_000):
             cuts = [(t or "").replace("\n", " ").split(" ") for t in texts[a:b]]
             get = self.cache.resolve(set().union(*cuts))
             out += [b"".join(map(get, c)) for c in cuts]
