@@ -198,7 +198,7 @@ def pack(
     from.  Ranges number their own sequences: the range's number times 2**32, plus a count.
     """
     path = path or default_path()
-    size = input_bytes(df)
+    size = input_bytes(df, text_col)
     parts = max(1, min(100_000, round(size / (range_mb * 1e6))))
     bounds: list[int] = []
     if parts > 1:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
 from .html_text import op7_html_text
+from .jaccard_join import op1_jaccard_join
 from .packing import op2_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op7_html_text": op7_html_text,
