@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .embedding_dedup import op5_embedding_dedup
 from .html_text import op7_html_text
 from .jaccard_join import op1_jaccard_join
 from .packing import op2_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_html_text": op7_html_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
