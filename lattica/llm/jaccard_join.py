@@ -194,9 +194,11 @@ def signatures(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]
     return np.concatenate(sigs), np.concatenate(kinds), figures
 
 
-_HEAD = np.dtype([("doc", "<i8"), ("set", "<u8"), ("size", "<i8"), ("fig", "<i8", 2)])
-_SHARED = np.dtype([("doc", "<i8"), ("sig", "<u8"), ("kind", "u1"), ("count", "<i8"), ("size", "<i8"), ("fig", "<i8")])
-_CHOSEN = np.dtype([("doc", "<i8"), ("sig", "<u8"), ("on", "?")])
+#: What travels between stages: signatures of sets, figures of sets, shared signatures, allocations.
+_ENTRY = np.dtype([("set", "<u8"), ("sig", "<u4"), ("kind", "u1")])
+_FIGURE = np.dtype([("set", "<u8"), ("size", "<i8"), ("fig", "<i8", 2)])
+_SHARED = np.dtype([("set", "<u8"), ("sig", "<u8"), ("kind", "u1"), ("count", "<i8")])
+_CHOSEN = np.dtype([("set", "<u8"), ("sig", "<u8"), ("on", "?")])
 
 
 def set_hash(elements: np.ndarray) -> int:
@@ -219,103 +221,88 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _index(parts: int, width: int):
-    """Stage 1: signatures of each task's distinct sets, packed by target."""
+    """Stage 1: signatures of each task's distinct sets to the signatures' targets, figures to the sets'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts, 12_000_000):
-                sets: dict[int, tuple[int, np.ndarray]] = {}
-                for doc, found in zip(docs[a:b], shingle_sets(texts[a:b], width), strict=True):
-                    if doc is not None and len(found) > 2:
-                        h = set_hash(found)
-                        if h not in sets or doc < sets[h][0]:
-                            sets[h] = doc, found
-                head = np.zeros(len(sets), _HEAD)
-                sigs, refs = [], []
-                for i, (h, (doc, found)) in enumerate(sets.items()):
-                    s, k, fig = signatures(found)
-                    head[i] = (doc, h & (2**64 - 1), len(found), fig)
-                    sigs.append(s)
-                    refs.append(U64(i << 8) | k.astype(U64))
-                if not sigs:
+            for a, b in text_groups(texts, 8_000_000):
+                sets = {set_hash(s) % 2**64: s for d, s in zip(docs[a:b], shingle_sets(texts[a:b], width), strict=True) if d is not None and len(s) > 2}
+                if not sets:
                     continue
-                sig, ref = np.concatenate(sigs), np.concatenate(refs)
-                del sigs, refs
-                rows = []
-                for p, at in _deal(sig >> U64(32), parts):
-                    packed = np.sort((sig[at] << U64(32)) | ref[at])
-                    mine, packed_doc = np.unique((packed & U64(0xFFFFFFFF)) >> U64(8), return_inverse=True)
-                    packed = (packed & U64(0xFFFFFFFF000000FF)) | packed_doc.astype(U64) << U64(8)
-                    own = head[mine.astype(np.int64)]
-                    rows.append((p, np.int64(len(own)).tobytes() + own.tobytes() + packed.tobytes()))
+                names = np.array(list(sets), U64)
+                found = [signatures(s) for s in sets.values()]
+                figures = np.zeros(len(sets), _FIGURE)
+                figures["set"], figures["size"] = names, [len(s) for s in sets.values()]
+                figures["fig"] = [f[2] for f in found]
+                entries = np.zeros(sum(len(f[0]) for f in found), _ENTRY)
+                sig = np.concatenate([f[0] for f in found])
+                entries["set"] = np.repeat(names, [len(f[0]) for f in found])
+                entries["sig"] = sig & U64(0xFFFFFFFF)
+                entries["kind"] = np.concatenate([f[1] for f in found])
+                del found, sets
+                rows = [(p, b"E" + entries[at].tobytes()) for p, at in _deal(sig >> U64(32), parts)]
+                rows += [(p, b"F" + figures[at].tobytes()) for p, at in _deal(mix(names), parts)]
                 yield _blobs(rows)
 
     return run
 
 
+def _tagged(batches: Iterator[pa.RecordBatch], kinds: dict[bytes, np.dtype]) -> tuple[int, dict[bytes, np.ndarray]]:
+    """The target of the rows, which all have the same, and the arrays under each tag."""
+    found: dict[bytes, list[np.ndarray]] = {k: [] for k in kinds}
+    part = -1
+    for batch in batches:
+        for at, blob in zip(batch.column(0), batch.column(1), strict=True):
+            raw = blob.as_buffer()
+            tag = raw[:1].to_pybytes()
+            found[tag].append(np.frombuffer(raw, kinds[tag], offset=1))
+            part = at.as_py()
+    return part, {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in found.items()}
+
+
 def _count(parts: int):
-    """Stage 2: how many sets share each signature; entries of shared ones go back to their sets."""
+    """Stage 2: how many sets share each signature; entries of shared ones go to their sets, figures go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, packs, n, part = [], [], 0, 0
-        for batch in batches:
-            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = blob.as_buffer()
-                k = int(np.frombuffer(raw, "<i8", 1)[0])
-                heads.append(np.frombuffer(raw, _HEAD, k, 8))
-                packed = np.frombuffer(raw, "<u8", -1, 8 + k * _HEAD.itemsize)
-                # sig32 << 32 | kind << 24 is kept; the set's row goes to an array beside it
-                packs.append((packed, n))
-                n += k
-                part = at
-        if not packs:
+        part, found = _tagged(batches, {b"E": _ENTRY, b"F": _FIGURE})
+        if part < 0:
             return
-        head = np.concatenate(heads)
-        sig = np.concatenate([p >> U64(32) for p, _ in packs]).astype(np.uint32)
-        ref = np.concatenate([((p & U64(0xFFFFFF00)) >> U64(8)) + U64(base) for p, base in packs]).astype(np.uint32)
-        kind = np.concatenate([p & U64(0xFF) for p, _ in packs]).astype(np.uint8)
-        del packs, heads
+        rows = [(part, b"F" + found[b"F"].tobytes())] if len(found[b"F"]) else []
+        e = found.pop(b"E")
+        sig = np.ascontiguousarray(e["sig"])
         order = np.argsort(sig)
-        s = sig[order]
-        same = s[1:] == s[:-1]
-        shared = np.zeros(len(s), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        order = order[shared]
-        sig, ref, kind = sig[order], ref[order], kind[order]
-        doc, of = head["doc"][ref], head["set"][ref]
-        order = np.lexsort((kind, doc, of, sig))
-        sig, ref, kind, doc, of = sig[order], ref[order], kind[order], doc[order], of[order]
-        new_sig = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-        new_set = new_sig.copy()
-        new_set[1:] |= of[1:] != of[:-1]
-        group = np.cumsum(new_sig) - 1
-        count = np.bincount(group, new_set.astype(np.float64)).astype(np.int64)[group] if len(sig) else np.zeros(0, np.int64)
-        # of equal sets the row with the least id stays, with all its kinds
-        first_doc = doc[np.maximum.accumulate(np.where(new_set, np.arange(len(sig)), 0))] if len(sig) else doc
-        again = np.zeros(len(sig), bool)
-        again[1:] = (sig[1:] == sig[:-1]) & (doc[1:] == doc[:-1]) & (kind[1:] == kind[:-1])
-        stay = (count > 1) & (doc == first_doc) & ~again
-        out = np.zeros(int(stay.sum()), _SHARED)
-        out["doc"], out["kind"], out["count"] = doc[stay], kind[stay], count[stay]
-        out["sig"] = sig[stay].astype(U64) | U64(part << 32)
-        out["size"] = head["size"][ref[stay]]
-        out["fig"] = head["fig"][ref[stay], (kind[stay] >> 7).astype(np.int64)]
-        if len(out):
-            yield _blobs([(p, out[at].tobytes()) for p, at in _deal(mix(out["doc"].astype(U64)), parts)])
+        sig = sig[order]
+        same = np.zeros(len(sig) + 1, bool)
+        same[1:-1] = sig[1:] == sig[:-1]
+        e = e[order[same[1:] | same[:-1]]]
+        e = e[np.lexsort((e["kind"], e["set"], e["sig"]))]
+        if len(e):
+            new_sig = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])
+            new_set = new_sig.copy()
+            new_set[1:] |= e["set"][1:] != e["set"][:-1]
+            new_kind = new_set.copy()
+            new_kind[1:] |= e["kind"][1:] != e["kind"][:-1]
+            group = np.cumsum(new_sig) - 1
+            count = np.bincount(group, new_set.astype(np.float64)).astype(np.int64)[group]
+            stay = new_kind & (count > 1)
+            out = np.zeros(int(stay.sum()), _SHARED)
+            out["set"], out["kind"], out["count"] = e["set"][stay], e["kind"][stay], count[stay]
+            out["sig"] = e["sig"][stay].astype(U64) | U64(part << 32)
+            rows += [(p, b"S" + out[at].tobytes()) for p, at in _deal(mix(out["set"]), parts)]
+        yield _blobs(rows)
 
     return run
 
 
-def _choose(entries: np.ndarray) -> tuple[int, np.ndarray]:
+def _choose(entries: np.ndarray, size: int, figures: np.ndarray) -> tuple[int, np.ndarray]:
     """Cost and allocation over the shared signatures of one set in one band and partition.
 
     ``entries`` are those with a count of two or more; all other parts cost one.
     """
     coarse = bool(entries["kind"][0] >> 6 & 1)
-    need = needed(int(entries["size"][0]), int(entries["kind"][0] >> 7))
-    fig = int(entries["fig"][0])
+    which = int(entries["kind"][0] >> 7)
+    need, fig = needed(size, which), int(figures[which])
     if not coarse:
         free = (fig & 0xFFFFFFFF) - len(entries)
         if free >= need:
@@ -347,61 +334,72 @@ def _choose(entries: np.ndarray) -> tuple[int, np.ndarray]:
     return cost, np.where(deletion, both[seg] <= cost, full[seg] <= cost)
 
 
-def free_elsewhere(entry: np.void) -> bool:
+def free_elsewhere(entry: np.void, size: int, figures: np.ndarray) -> bool:
     """Whether the band's other partition, none of whose signatures is shared, has parts enough."""
-    need, fig = needed(int(entry["size"]), int(entry["kind"]) >> 7), int(entry["fig"])
+    which = int(entry["kind"]) >> 7
+    fig = int(figures[which])
     have = fig & 0xFFFFFFFF if entry["kind"] >> 6 & 1 else (fig >> 32 & 0xFFFF) + (fig >> 48)
-    return have >= need
+    return have >= needed(size, which)
 
 
 def _allocate(parts: int):
-    """Stage 3: each set allocates H + 1 among its cheapest signatures."""
+    """Stage 3: each set allocates H + 1 among its cheapest signatures.
+
+    A set whose allocation nobody shares links with none in that band and is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.frombuffer(x.as_buffer(), _SHARED) for batch in batches for x in batch.column(1)]
-        if not found:
+        _, found = _tagged(batches, {b"S": _SHARED, b"F": _FIGURE})
+        e, figures = found[b"S"], found[b"F"]
+        if not len(e):
             return
-        e = np.concatenate(found)
-        e = e[np.lexsort((e["kind"] >> 6, e["doc"]))]
+        figures = figures[np.argsort(figures["set"], kind="stable")]
+        e = e[np.lexsort((e["kind"] >> 6, e["set"]))]
+        own = figures[np.searchsorted(figures["set"], e["set"])]
         key = e["kind"] >> 6
-        first = np.flatnonzero(np.concatenate([[True], (e["doc"][1:] != e["doc"][:-1]) | (key[1:] != key[:-1])]))
+        first = np.flatnonzero(np.concatenate([[True], (e["set"][1:] != e["set"][:-1]) | (key[1:] != key[:-1])]))
         end = np.append(first[1:], len(e))
         on = np.zeros(len(e), bool)
+        alone = np.zeros(len(e), bool)  # entries of sets that link with none in their band
         i = 0
         while i < len(first):
             a, b = first[i], end[i]
-            chosen = [(a, b, *_choose(e[a:b]))]
-            if i + 1 < len(first) and e["doc"][first[i + 1]] == e["doc"][a] and key[first[i + 1]] >> 1 == key[a] >> 1:
+            size, figs = int(own["size"][a]), own["fig"][a]
+            chosen = [(a, b, *_choose(e[a:b], size, figs))]
+            if i + 1 < len(first) and e["set"][first[i + 1]] == e["set"][a] and key[first[i + 1]] >> 1 == key[a] >> 1:
                 i += 1
-                chosen.append((first[i], end[i], *_choose(e[first[i] : end[i]])))
-            elif free_elsewhere(e[a]):
+                chosen.append((first[i], end[i], *_choose(e[first[i] : end[i]], size, figs)))
+            elif free_elsewhere(e[a], size, figs):
                 chosen.append((a, a, 1, on[:0]))
             good = [c for c in chosen if c[2] > 0]
             if not good:
                 raise ValueError("a set has too few parts in every partition; use another salt")
             best = min(good, key=lambda c: c[2])
             on[best[0] : best[1]] = best[3]
+            alone[a : end[i]] = best[2] == 1
             i += 1
+        e, on = e[~alone], on[~alone]
         out = np.zeros(len(e), _CHOSEN)
-        out["doc"], out["sig"], out["on"] = e["doc"], e["sig"], on
-        yield _blobs([(p, out[at].tobytes()) for p, at in _deal(mix(out["sig"]), parts)])
+        out["set"], out["sig"], out["on"] = e["set"], e["sig"], on
+        yield _blobs([(p, b"C" + out[at].tobytes()) for p, at in _deal(mix(out["sig"]), parts)])
 
     return run
 
 
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stage 4: a signature that some set allocated connects all its sets to the least of them."""
-    found = [np.frombuffer(x.as_buffer(), _CHOSEN) for batch in batches for x in batch.column(1)]
-    if not found:
+    e = _tagged(batches, {b"C": _CHOSEN})[1][b"C"]
+    if not len(e):
         return
-    e = np.concatenate(found)
-    e = e[np.lexsort((e["doc"], e["sig"]))]
+    name = e["set"].astype(np.int64)
+    order = np.lexsort((name, e["sig"]))
+    e, name = e[order], name[order]
     first = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])
     group = np.cumsum(first) - 1
     active = (np.bincount(group, e["on"].astype(np.float64)) > 0)[group]
-    hub = e["doc"][np.flatnonzero(first)][group]
-    keep = active & (hub != e["doc"])
-    pairs = np.unique(np.stack([hub[keep], e["doc"][keep]], 1), axis=0)
+    hub = name[np.flatnonzero(first)][group]
+    keep = active & (hub != name)
+    pairs = np.unique(np.stack([hub[keep], name[keep]], 1), axis=0)
     if len(pairs):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -411,7 +409,10 @@ def _sized(parts: int, rows: DataFrame, run, schema: str) -> DataFrame:
 
 
 def candidate_edges(texts: DataFrame, width: int, parts: int) -> DataFrame:
-    """Edges whose components hold every pair of linked, different sets; columns of texts: id, text."""
+    """Edges ``a, b`` of set hashes whose components hold every pair of linked, different sets.
+
+    ``texts`` has id and text.
+    """
     blob = "at int, blob binary"
     rows = texts.mapInArrow(_index(parts, width), blob)
     rows = _sized(parts, rows, _count(parts), blob)
@@ -502,13 +503,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a: list[int] = []
     b: list[int] = []
     for batch in batches:
-        for c, p, d, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for c, p, d, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             if (c, p) != key:
                 for to, found in zip((a, b), settle(group), strict=True):
                     to += found
                 key, group = (c, p), []
-            if raw:
-                group.append((d, raw))
+            if len(raw.as_buffer()):
+                group.append((d, raw.as_py()))
     for to, found in zip((a, b), settle(group), strict=True):
         to += found
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -538,7 +539,9 @@ def jaccard_components(
     parts = max(1, min(100_000, round(input_bytes(df, text_col) / (part_mb * 1e6))))
     sizes = materialize(texts.mapInArrow(_describe(width), "id long, n_shingles long, set_hash long"), "sets")
     candidates = connected_components(candidate_edges(texts, width, parts))
-    members = candidates.join(sizes.groupBy("id").agg(F.max("n_shingles").alias("n")), candidates["node"] == F.col("id")).select("node", "component", "n")
+    present = sizes.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = materialize(present.groupBy("set_hash").agg(F.min("id").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
+    members = candidates.join(classes, candidates["node"] == classes["set_hash"]).select(F.col("class_id").alias("node"), "component", "n")
     totals = members.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
     )
@@ -547,7 +550,6 @@ def jaccard_components(
     spread = clustered.mapInArrow(_spread(width), "cluster long, pair long, doc long, raw binary")
     pairs = spread.repartition(max(parts, 12), "cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_verify, "a long, b long")
     linked = connected_components(pairs)
-    classes = sizes.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("set_hash").agg(F.min("id").alias("class_id"))
     labelled = classes.join(linked, classes["class_id"] == linked["node"], "left").select("set_hash", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sizes.join(labelled, "set_hash", "left")
     alone = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
