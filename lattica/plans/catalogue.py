@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions import grid
-from lattica.operators import edits, layout, links, objects, paths, points, pyramid, validate
+from lattica.operators import edits, layout, links, objects, paths, points, pyramid, readers, validate
 from lattica.sources import store
 
 from . import frames as V
@@ -684,3 +684,88 @@ def relabel_by_links(spark, d):
     w = W.partitionBy("oid").orderBy(*V.ORDER)
     edges = s.select(F.col("vid").alias("src"), F.lag("vid").over(w).alias("dst"), (F.lag("cx").over(w) == F.col("cx")).alias("same")).where("same").select("src", "dst")
     return edits.relabel_by_links(s, edges)
+
+
+# Readers
+
+
+@query("mesh_owned_patch", f"WITH {MESH}, o AS (SELECT e.face, v.cx, v.cy, row_number() OVER (PARTITION BY e.face ORDER BY v.cx, v.cy, v.vid) AS k FROM ends e JOIN faces USING (face) JOIN verts v ON v.vid = e.v), own AS (SELECT face FROM o WHERE k = 1 AND cx = 0 AND cy IN (9, 10)) SELECT DISTINCT vid, x, y FROM verts JOIN ends ON v = vid JOIN own USING (face)")
+def mesh_owned_patch(spark, d):
+    wanted = spark.createDataFrame([(0, 9), (0, 10)], "cx long, cy long")
+    _, vertices = readers.owned_patch(V.mesh_faces(spark, d), V.mesh_vertices(spark, d), wanted, ("cx", "cy"))
+    return vertices.select("vid", "x", "y")
+
+
+@query("mesh_owner_bounds", f"WITH {MESH}, o AS (SELECT e.face, v.cx, v.cy, row_number() OVER (PARTITION BY e.face ORDER BY v.cx, v.cy, v.vid) AS k FROM ends e JOIN faces USING (face) JOIN verts v ON v.vid = e.v) SELECT o.cx, o.cy, min(v.x) AS min_x, max(v.x) AS max_x, min(v.y) AS min_y, max(v.y) AS max_y FROM o JOIN ends e USING (face) JOIN verts v ON v.vid = e.v WHERE k = 1 GROUP BY o.cx, o.cy")
+def mesh_owner_bounds(spark, d):
+    return readers.owner_bounds(V.mesh_faces(spark, d), V.mesh_vertices(spark, d), "xy", ("cx", "cy"))
+
+
+@query("mesh_of_cell_set", f"WITH {MESH} SELECT e.face FROM ends e JOIN faces USING (face) JOIN verts v ON v.vid = e.v GROUP BY e.face HAVING count(DISTINCT (v.cx, v.cy)) = 2 AND min(CASE WHEN (v.cx, v.cy) IN ((1, 9), (3, 9)) THEN 1 ELSE 0 END) = 1")
+def mesh_of_cell_set(spark, d):
+    return readers.links_of_cells(V.mesh_faces(spark, d), V.mesh_vertices(spark, d), [(1, 9), (3, 9)], ("cx", "cy")).select("face")
+
+
+@query("skeleton_by_segment", f"WITH {STREAM}, i AS (SELECT oid, vid AS child, lag(vid) OVER (PARTITION BY oid ORDER BY ts, vid) AS parent, x + 100.5::DOUBLE AS x FROM stream) SELECT child, parent, x FROM i WHERE oid = (SELECT user_id FROM events GROUP BY user_id HAVING user_id * 11 + 7 = 62) AND parent IS NOT NULL")
+def skeleton_by_segment(spark, d):
+    s = V.streamlines(spark, d)
+    segments = s.select("oid").distinct().withColumn("segment_id", F.col("oid") * 11 + 7)
+    w = W.partitionBy("oid").orderBy(*V.ORDER)
+    nothing = spark.createDataFrame([], "child long, parent long")
+    own, edges = readers.skeleton_by_segment(segments, s.withColumn("row", F.row_number().over(w)), nothing, 62, "xy", (100.5, 0.0), ("oid",))
+    return edges.join(own.select(F.col("vid").alias("child"), "x"), "child").select("child", "parent", "x")
+
+
+@query("graph_object_links", f"WITH {NODES}, n AS (SELECT vid FROM nodes WHERE vid % 5 IN (1, 3)) SELECT src, dst, n_items FROM edges WHERE src IN (SELECT vid FROM n) AND dst IN (SELECT vid FROM n)")
+def graph_object_links(spark, d):
+    nodes = V.graph_nodes(spark, d).withColumn("oid", F.col("vid") % 5)
+    return readers.object_links(V.graph_edges(spark, d), nodes, [1, 3])
+
+
+@query("selection_context", f"WITH {STREAM}, s AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY oid) AS n, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM stream WINDOW w AS (PARTITION BY oid ORDER BY ts, vid)) SELECT oid, max(CASE WHEN k = n // 2 THEN x END) AS mx, max(CASE WHEN k = n // 2 THEN y END) AS my, round(coalesce(sum(step), 0), 4) AS length, count(*) AS n_vertices FROM s GROUP BY oid")
+def selection_context(spark, d):
+    return readers.selection_context(V.streamlines(spark, d), "xy", order=V.ORDER).withColumn("length", F.round("length", 4))
+
+
+@query("halo_cells", f"WITH {DENSE}, c AS (SELECT DISTINCT cx, cy, cz FROM dense) SELECT a.cx, a.cy, a.cz, CAST(min(greatest(abs(a.cx - b.cx), abs(a.cy - b.cy), abs(a.cz - b.cz))) AS INTEGER) AS ring FROM c a JOIN c b ON abs(a.cx - b.cx) <= 2 AND abs(a.cy - b.cy) <= 2 AND abs(a.cz - b.cz) <= 2 WHERE b.cx = 2 AND b.cy >= 1 GROUP BY ALL")
+def halo_cells(spark, d):
+    return readers.halo_cells(V.dense_points(spark, d), (F.col("cx") == 2) & (F.col("cy") >= 1), 2)
+
+
+LEAVES = OCTREE + ", f AS (SELECT *, weight <= 1500 OR depth = 3 AS fits FROM nodes), l AS (SELECT c.depth, c.i, c.j, c.k, c.i << (3 - c.depth) AS ai, c.j << (3 - c.depth) AS aj, c.k << (3 - c.depth) AS ak, 1 << (3 - c.depth) AS side FROM f c LEFT JOIN f p ON p.depth = c.depth - 1 AND p.i = c.i >> 1 AND p.j = c.j >> 1 AND p.k = c.k >> 1 WHERE c.fits AND NOT coalesce(p.fits, false))"
+
+
+@query("octree_leaves_in_box", LEAVES + " SELECT depth, i, j, k FROM l WHERE ai <= 2 AND ai + side - 1 >= 1 AND aj <= 3 AND aj + side - 1 >= 1 AND ak <= 2 AND ak + side - 1 >= 0")
+def octree_leaves_in_box(spark, d):
+    found = layout.leaves(_octree_cells(spark, d), 3, 1500)
+    return readers.leaves_in_box(found, (10.0, 2.0, 0.0), (29.0, 6.0, 4.0), V.CELL_LARGE, 3).select("depth", "i", "j", "k")
+
+
+@query("octree_leaf_neighbours", LEAVES + " SELECT a.depth AS da, a.i AS ai, a.j AS aj, a.k AS ak, count(*) AS n FROM l a JOIN l b ON (a.depth, a.i, a.j, a.k) <> (b.depth, b.i, b.j, b.k) AND a.ai <= b.ai + b.side AND b.ai <= a.ai + a.side AND a.aj <= b.aj + b.side AND b.aj <= a.aj + a.side AND a.ak <= b.ak + b.side AND b.ak <= a.ak + a.side GROUP BY ALL")
+def octree_leaf_neighbours(spark, d):
+    found = layout.leaves(_octree_cells(spark, d), 3, 1500)
+    pairs = readers.leaf_neighbours(found, 3).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n"))
+    return found.join(pairs, "key").select(F.col("depth").alias("da"), F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("k").alias("ak"), "n")
+
+
+@query("append_objects", "SELECT count(*) AS n, count(DISTINCT oid) AS n_objects, max(oid) AS top FROM (SELECT o_orderkey AS oid FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders) FROM orders WHERE o_orderstatus = 'F')")
+def append_objects(spark, d):
+    orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("oid"), F.col("o_orderstatus").alias("status"))
+    top = orders.agg((F.max("oid") + 1).alias("shift"))
+    new = orders.where("status = 'F'").join(F.broadcast(top)).select((F.col("oid") + F.col("shift")).alias("oid"), "status")
+    both = readers.append_objects(orders, new, bins=orders.select("status").distinct(), bin_column="status")
+    return both.agg(F.count("*").alias("n"), F.countDistinct("oid").alias("n_objects"), F.max("oid").alias("top"))
+
+
+@query("explicit_parent_records", f"WITH {TREE}, n AS (SELECT t.oid, t.child, t.parent, p.parent AS grand FROM tree t LEFT JOIN tree p ON t.parent = p.child), r AS (SELECT oid, child, parent, lag(child) OVER (PARTITION BY oid ORDER BY CASE WHEN parent IS NULL THEN -1 WHEN grand IS NULL THEN child ELSE parent END, CASE WHEN grand IS NULL THEN -1 ELSE child END) AS before FROM n) SELECT child, parent FROM r WHERE parent IS DISTINCT FROM before")
+def explicit_parent_records(spark, d):
+    rows = V.tree(spark, d)
+    ordered = readers.reorder_depth_first(rows.select("oid", F.col("child").alias("vid")), rows)
+    return readers.explicit_after_reorder(rows.select("child", "parent"), ordered)
+
+
+@query("group_catalogue", "SELECT c_mktsegment AS name, count(*) AS n_members, min(c_custkey) AS first_member FROM customer GROUP BY 1")
+def group_catalogue(spark, d):
+    members = V.table(spark, d, "customer").select(F.col("c_custkey").alias("oid"), "c_mktsegment")
+    built = objects.build_groups(members, "c_mktsegment")
+    return built.select("name", F.size("members").cast("long").alias("n_members"), F.col("members")[0].alias("first_member"))
