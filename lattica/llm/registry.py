@@ -10,12 +10,14 @@ from .packing import op2_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
+from .token_count import op6_token_count
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_token_count": op6_token_count,
     "op7_html_text": op7_html_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,

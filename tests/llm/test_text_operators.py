@@ -206,7 +206,7 @@ def test_main_text_of_labelled_and_odd_pages(spark):
     for page in html_text.LABELLED:
         plain = page.replace(html_text.START, "").replace(html_text.END, "")
         marked = page[page.index(html_text.START) + 1 : page.index(html_text.END)]
-        blocks = [" ".join(re.sub("<[^>]*>", " " if "br" in b else "", b).split()) for b in re.split("</?(?:p|h1|h2|h3|ul|li|blockquote|table|tr|td)>", marked)]
+        blocks = [" ".join(re.sub("<[^>]*>", " " if "br" in b else "", b).split()) for b in re.split("</?(?:p|h1|h2|h3|ul|li|blockquote|table|tr|td|header)>", marked)]
         got = html_text.main_text(plain, w)
         assert [re.sub(r"\s", "", b) for b in got.split("\n\n")] == [re.sub(r"\s", "", b) for b in blocks if b]
     assert html_text.main_text(None, w) == html_text.main_text("", w) == html_text.main_text("<div><nav>a b</nav></div>", w) == ""
@@ -215,6 +215,19 @@ def test_main_text_of_labelled_and_odd_pages(spark):
     assert html_text.main_text('<script>var x = "</p>"; if (a < b) {}</script><p>text here', w) == "text here"
 
 
+def test_boilerplate_of_other_layouts():
+    w = html_text.learn()
+    body = "<h1>Title here</h1><p>Some prose of the article itself.</p>"
+    expected = "Title here\n\nSome prose of the article itself."
+    for page in (
+        f'<div class="teaser">{"word " * 30}</div><article>{body}<div class="user-comments"><p>so nice</p></div></article><div>{"other " * 50}</div>',
+        f'<header><h1>Site of many words here</h1></header><main>{body}</main><aside>{"more " * 60}</aside>',
+        f'<body><header>Site</header><div class="content">{body}</div><div class="comments"><p>{"me too " * 9}</p></div><footer>{"legal " * 40}</footer>',
+        f'<article><header>{body[:19]}</header>{body[19:]}<form>Name Mail Send</form><div class="cookie-notice">We use cookies</div></article>',
+    ):
+        assert html_text.main_text(page, w) == expected
+
+
 def test_pages_give_their_articles(spark, small):
     import html
 
