@@ -36,6 +36,16 @@ def test_components(spark, seed):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_spanning_stars():
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 400, (260, 2))
+    a, b = jaccard_join.spanning(pairs)
+    nodes = sorted(set(pairs.reshape(-1).tolist()))
+    expected = brute_components(nodes, [tuple(p) for p in pairs.tolist()])
+    assert {n: expected[n] for n in b.tolist()} == dict(zip(b.tolist(), a.tolist(), strict=True))
+    assert set(b.tolist()) == {n for n in nodes if expected[n] != n}
+
+
 def shingles(text):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if len(words) < 5:
