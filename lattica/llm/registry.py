@@ -7,6 +7,7 @@ from .embedding_dedup import op5_embedding_dedup
 from .html_text import op7_html_text
 from .jaccard_join import op1_jaccard_join
 from .license_scan import op4_license_scan
+from .oracles import ORACLE_SQL
 from .packing import op2_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
