@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_bytes, long_id, materialize, read_table, text_groups
-from .components import connected_components
+from .components import connected_components, rekeyed
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -401,7 +401,27 @@ def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = active & (hub != name)
     pairs = np.unique(np.stack([hub[keep], name[keep]], 1), axis=0)
     if len(pairs):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        a, b = spanning(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def spanning(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what rows of pairs connect: each node but the least of its component, with that one."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[ends[:, 0]], label[ends[:, 1]])
+        new = label.copy()
+        for k in (0, 1):
+            np.minimum.at(new, label[ends[:, k]], low)
+            np.minimum.at(new, ends[:, k], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[at]], nodes[at]
 
 
 def _sized(parts: int, rows: DataFrame, run, schema: str) -> DataFrame:
@@ -545,8 +565,10 @@ def jaccard_components(
     totals = members.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
     )
-    dealt = materialize(members.join(totals, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
-    clustered = texts.join(dealt, texts["id"] == dealt["node"]).select("id", "text", "component", "blocks", "mine")
+    totals = totals.select(rekeyed("component"), "blocks")
+    dealt = materialize(members.withColumn("key", rekeyed("component")).join(totals, "key").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
+    # the same plan at every size: texts are never weighed against a broadcast
+    clustered = texts.join(dealt.hint("merge"), texts["id"] == dealt["node"]).select("id", "text", "component", "blocks", "mine")
     spread = clustered.mapInArrow(_spread(width), "cluster long, pair long, doc long, raw binary")
     pairs = spread.repartition(max(parts, 12), "cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_verify, "a long, b long")
     linked = connected_components(pairs)
