@@ -18,9 +18,10 @@ def edge_bins(value: Column, edges: Sequence[float]) -> Column:
 
 
 def quartile_edges(df: DataFrame, column: str) -> list[float]:
-    """Distinct exact quartiles of a column: five numbers at most come to the driver."""
-    q = df.agg(F.percentile(column, F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")).first()["q"]
-    return sorted(set(q or []))
+    """Distinct exact quartiles of a column; no task holds all its values."""
+    from lattica.operators.points import exact_quantiles
+
+    return sorted(set(exact_quantiles(df, column, (0.0, 0.25, 0.5, 0.75, 1.0))))
 
 
 def rechunk_by_value(df: DataFrame, column: str, *, edges: Sequence[float] | None = None, categorical_up_to: int = 10) -> DataFrame:

@@ -37,10 +37,11 @@ def in_object_order(manifest: DataFrame, vertices: DataFrame, cells: Sequence[st
 
 
 def row_offsets(vertices: DataFrame, cells: Sequence[str] = CELL) -> DataFrame:
-    """Rows of each cell and the rows before it in cell order: counts first, then a window over cells alone."""
+    """Rows of each cell and the rows before it in cell order."""
+    from lattica.operators.points import prefix_sums
+
     counts = vertices.groupBy(*cells).agg(F.count("*").alias("n_rows"))
-    before = F.coalesce(F.sum("n_rows").over(W.orderBy(*cells).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("offset", before.cast("long"))
+    return prefix_sums(counts, list(cells), F.col("n_rows"), "offset")
 
 
 def fragment_owner(manifest: DataFrame, fragments: DataFrame | None = None, cells: Sequence[str] = CELL, oid: str = "oid") -> DataFrame:

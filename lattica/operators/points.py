@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,21 +243,41 @@ def encode_categories(df: DataFrame, column: str, fill: int = -1) -> tuple[DataF
     return df.join(table, column, "left").withColumn("code", F.coalesce("code", F.lit(fill)).cast("long")), table
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (), start: int = 0) -> DataFrame:
-    """Dense numbers from ``start`` in a global order, without one task that holds all rows.
+def prefix_sums(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows before each in a global order, without one task that holds all rows.
 
-    Rows are range-partitioned and numbered where they lie; the sums of the partitions before,
-    a row for each partition, are added.  The frame is written first, because numbering reads
-    it twice and both readings must see the same partitions.
+    Rows are range-partitioned and summed where they lie; the sums of the partitions before,
+    a row for each partition, are added.  The frame is written first, because this reads it
+    twice and both readings must see the same partitions.
     """
     from lattica.sources.store import materialize
 
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from pyspark.sql import Window as W
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__value", value.cast("long")).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    running = F.coalesce(F.sum("__value").over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    local = materialize(ranged.withColumn("__sum", running), "prefix")
+    sums = local.groupBy("__part").agg(F.sum("__value").alias("__rows"))
+    before = sums.select("__part", F.coalesce(F.sum("__rows").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = local.join(F.broadcast(before), "__part")
+    return joined.withColumn(name, (F.col("__sum") + F.col("__before")).cast("long")).drop("__part", "__value", "__sum", "__before")
 
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    local = materialize(ranged.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order))), "numbered")
-    sums = local.groupBy("__part").agg(F.count("*").alias("__rows"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__rows").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, (F.col("__n") - 1 + F.col("__before") + start).cast("long")).drop("__part", "__n", "__before")
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """Dense numbers from ``start`` in a global order."""
+    return prefix_sums(df, order, F.lit(1), name).withColumn(name, F.col(name) + start)
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """Interpolated quantiles of the non-null values: rows are numbered in order, two for each share come to the driver.
+
+    Equal values are told apart by a seeded random number, so that a frequent one fills many ranges.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), F.rand(7).alias("t"))
+    numbered = number_rows(values, ["v", "t"], "n")
+    n = numbered.count()
+    if not n:
+        return []
+    wanted = [s * (n - 1) for s in shares]
+    places = sorted({i for w in wanted for i in (math.floor(w), math.ceil(w))})
+    at = {r["n"]: r["v"] for r in numbered.where(F.col("n").isin(places)).collect()}
+    return [at[math.floor(w)] + (at[math.ceil(w)] - at[math.floor(w)]) * (w - math.floor(w)) for w in wanted]
