@@ -43,6 +43,28 @@ def uncanonical(faces: DataFrame) -> DataFrame:
     return violation(faces.where("sorted <> array_sort(sorted)"), 3, "links are canonical", F.col("face"))
 
 
+def mixed_bins(vertices: DataFrame, column: str, oid: str = "oid") -> DataFrame:
+    """Objects whose vertices hold several values of the column that chunks are cut by."""
+    values = vertices.groupBy(oid).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+    return violation(values.where(F.col("__lo") != F.col("__hi")), 4, "one bin for an object", F.col(oid))
+
+
+def wrong_counts(vertices: DataFrame, declared: DataFrame) -> DataFrame:
+    """Levels whose declared vertex count (level, n_vertices) is not the number of rows."""
+    real = vertices.groupBy("level").agg(F.count("*").alias("__n"))
+    both = declared.join(real, "level", "full")
+    return violation(both.where(~F.col("n_vertices").eqNullSafe(F.col("__n"))), 3, "counts are right", F.col("level"))
+
+
+def untied_leaves(cells: DataFrame, leaves: DataFrame, depth: int, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
+    """Octree cells that lie in no leaf, or in several."""
+    from lattica.operators.layout import in_leaf
+
+    found = in_leaf(cells, leaves, depth, axes).groupBy(*axes).agg(F.count("*").alias("__n"))
+    missing = cells.select(*axes).distinct().join(found, list(axes), "left").where("coalesce(__n, 0) <> 1")
+    return violation(missing, 3, "leaves tile the cells", F.concat_ws(".", *axes))
+
+
 def pyramid_counts(levels: DataFrame) -> DataFrame:
     """Levels (level, n_vertices, bin_volume) with more vertices, or smaller bins, than the one below, or a gap before."""
     w = W.orderBy("level")

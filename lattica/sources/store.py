@@ -235,6 +235,8 @@ class Dataset:
         if missing:
             raise SchemaConflict(f"vertices lack {', '.join(missing)}")
         if schema.bounds:
+            if out_of_bounds == "expand":
+                self._expand_bounds(vertices)
             vertices = clip(vertices, *schema.bounds, out_of_bounds, schema.axes)
         names = ["c" + a for a in schema.axes]
         placed = vertices.select(F.lit(level).alias("level"), "*", *grid.cells(schema.chunk, schema.axes))
@@ -246,6 +248,31 @@ class Dataset:
         tables |= {k: v for k, v in (("objects", objects), ("groups", groups), ("links", links)) if v is not None}
         return self.commit(tables, f"level {level}", levels=[level])
 
+    def _expand_bounds(self, vertices: DataFrame) -> None:
+        from lattica.operators.points import bounds
+
+        schema = self.schema
+        found = bounds(vertices, schema.axes).first()
+        lo, hi = ([found[f"{n}_{a}"] for a in schema.axes] for n in ("min", "max"))
+        if lo[0] is not None:
+            self._set_bounds([min(a, float(b)) for a, b in zip(schema.bounds[0], lo, strict=True)], [max(a, float(b)) for a, b in zip(schema.bounds[1], hi, strict=True)])
+
+    def _set_bounds(self, lo: Sequence[float], hi: Sequence[float]) -> None:
+        meta = self.meta
+        meta["schema"]["bounds"] = [list(map(float, lo)), list(map(float, hi))]
+        self.files.write("meta.json", json.dumps(meta))
+
+    def set_bounds(self, lo: Sequence[float], hi: Sequence[float], *, force: bool = False) -> None:
+        """New bounds; vertices outside are dropped if ``force``, else an error."""
+        schema = self.schema
+        rows = self.table("vertices")
+        outside = rows.where(~F.coalesce(grid.in_box(lo, hi, schema.axes), F.lit(False)))
+        if outside.limit(1).count():
+            if not force:
+                raise StoreError("vertices lie outside; use force to drop them")
+            self.commit({"vertices": rows.where(grid.in_box(lo, hi, schema.axes))}, "bounds drawn in", expected=self.snapshot()["id"])
+        self._set_bounds(lo, hi)
+
     def level(self, level: int = 0):
         """A query over the vertices of a level."""
         from lattica.operators.points import Query
@@ -288,10 +315,21 @@ class Dataset:
         return meta["headers"].get(name)
 
 
-def union_sources(parts: Iterable[tuple[DataFrame, Sequence[Sequence[float]]]], axes: Sequence[str] = grid.AXES) -> DataFrame:
-    """Vertices of several datasets in one space: each affinely moved, with its number as ``source``."""
+def fingerprint(df: DataFrame) -> tuple[int, int]:
+    """Rows, and the sum of their hashes: equal for equal bags of rows in any order."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(20,0)")).alias("h")).first()
+    return row["n"], int(row["h"] or 0)
+
+
+def union_sources(parts: Iterable[tuple[DataFrame, Sequence[Sequence[float]]]], axes: Sequence[str] = grid.AXES, fingerprints: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """Vertices of several datasets in one space: each affinely moved, with its number as ``source``.
+
+    With ``fingerprints`` a source that is not what it was when they were taken is an error.
+    """
     out = None
     for k, (df, matrix) in enumerate(parts):
+        if fingerprints is not None and fingerprint(df) != tuple(fingerprints[k]):
+            raise StoreError(f"source {k} has changed")
         moved = df.select(F.lit(k).alias("source"), *[c for c in df.columns if c not in axes], *grid.affine(matrix, axes))
         out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
     if out is None:

@@ -1,8 +1,9 @@
 import pytest
 
 from lattica.operators.edits import EditSession, Report
-from lattica.operators.validate import validate
-from lattica.sources.store import Dataset, MetadataConflict, Schema, SchemaConflict, StoreError, parametric, union_sources
+from lattica.operators import layout
+from lattica.operators.validate import mixed_bins, untied_leaves, validate, wrong_counts
+from lattica.sources.store import Dataset, MetadataConflict, Schema, SchemaConflict, StoreError, fingerprint, parametric, union_sources
 from lattica.streaming.ingest import Appender, place, reserve
 
 SCHEMA = Schema("point_cloud", ("x", "y"), (10.0, 10.0), (5.0, 5.0), ((0.0, 0.0), (100.0, 100.0)), {"w": "float64"})
@@ -116,6 +117,35 @@ def test_sources_and_parametric(spark):
         parametric(bad).collect()
 
 
+def test_bounds_expand_and_contract(spark, ds):
+    ds.write_vertices(rows(spark, 200), level=1, out_of_bounds="expand")
+    assert ds.level(1).count() == 200 and ds.schema.bounds == ((0.0, 0.0), (199.0, 100.0))
+    with pytest.raises(StoreError):
+        ds.set_bounds((0, 0), (50, 100))
+    ds.set_bounds((0, 0), (50, 100), force=True)
+    assert ds.level(1).count() == 51 and ds.schema.bounds[1] == (50.0, 100.0)
+
+
+def test_changed_sources_are_refused(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "vid long, x double, y double")
+    same = [[1, 0, 0], [0, 1, 0]]
+    mark = fingerprint(df.orderBy("y", ascending=False))
+    assert union_sources([(df, same)], "xy", [mark]).count() == 2
+    with pytest.raises(StoreError):
+        union_sources([(df.limit(1), same)], "xy", [mark])
+
+
+def test_more_checks(spark):
+    v = spark.createDataFrame([(0, 1, "a"), (0, 1, "b"), (1, 2, "a")], "level int, oid long, k string")
+    assert [r["detail"] for r in mixed_bins(v, "k").collect()] == ["1"]
+    declared = spark.createDataFrame([(0, 2), (1, 5), (2, 1)], "level int, n_vertices long")
+    assert sorted(r["detail"] for r in wrong_counts(v, declared).collect()) == ["1", "2"]
+    cells = spark.createDataFrame([(0, 0, 0, 9), (3, 3, 3, 1)], "i long, j long, k long, weight long")
+    leaves = layout.leaves(cells, 2, 5)
+    assert untied_leaves(cells, leaves, 2).count() == 0
+    assert [r["detail"] for r in untied_leaves(cells, leaves.where("i = 0"), 2).collect()] == ["3.3.3"]
+
+
 def test_streaming_ingest_is_idempotent(spark, tmp_path):
     source = str(tmp_path / "in")
     rows(spark, 30).write.parquet(source + "/a")
