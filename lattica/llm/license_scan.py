@@ -12,8 +12,8 @@ is verified exactly: each template's shingles found in windows that retrieved it
 as bits, and a template whose share reaches ``CONTAINMENT`` is reported, unless another one at
 the same place has a greater share.
 
-Only windows that retrieve something leave the scan; they are aggregated by document, bits
-before the shuffle.  Templates are a fixed, small list of literals; none is collected.
+Only windows that can retrieve something leave the scan; they are aggregated by document,
+bits before the shuffle.  Templates are a fixed, small list of literals; none is collected.
 
 Defined results: null and empty texts, and texts of one word, hold no license; repeated rows
 give repeated results; null ids are kept; extra columns are ignored; texts are read whole.
@@ -89,23 +89,35 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...],
     return found
 
 
+def windows_of(text: Column, known: set[int]) -> Column:
+    """Array of (``__at``, ``__s``): first word and shingles of the windows with a shingle of a template.
+
+    Where a band agrees, the least shingle of the window is a template's, so other windows
+    cannot be retrieved and are not made.  Words and shingles are bound once, by lambdas over
+    arrays of one, and not computed again for each window.
+    """
+    shingles = F.transform(
+        F.array(words_of(F.coalesce(text, F.lit("")))),
+        lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<bigint>")),
+    )
+    width = WINDOW - 1
+
+    def around(h: Column) -> Column:
+        places = F.filter(F.transform(h, lambda x, i: F.when(x.isin(sorted(known)), i)), lambda i: i.isNotNull())
+        # windows that hold place p begin at multiples of STRIDE from p - width + 1 to p
+        starts = F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), F.floor((p - width + STRIDE) / STRIDE).cast("int") * STRIDE), F.floor(p / STRIDE).cast("int") * STRIDE, F.lit(STRIDE))))
+        return F.transform(F.array_distinct(starts), lambda i: F.struct(i.alias("__at"), F.slice(h, i + 1, width).alias("__s")))
+
+    return F.flatten(F.transform(shingles, around))
+
+
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """``id_col``, ``text_hash``, ``license``, ``containment``, ``first_word`` of each license in each distinct row."""
     table = template_table(df.sparkSession, templates, bands)
     text = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__t"), words_of(F.coalesce(text, F.lit(""))).alias("__w")).where(F.size("__w") > 1)
-    hashed = rows.select("__id", "__t", F.transform(F.sequence(F.lit(0), F.size("__w") - 2), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1))).alias("__h"))
-    width = WINDOW - 1
-    windows = hashed.select(
-        "__id",
-        "__t",
-        F.inline(F.transform(F.sequence(F.lit(0), F.size("__h") - 1, F.lit(STRIDE)), lambda i: F.struct(i.alias("__at"), *(F.get("__h", i + k).alias(f"h{k}") for k in range(width))))),
-    )
-    least = [F.least(*(F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k in range(width))) for m in masks(bands)]
-    hit = F.lit(False)
-    for b in range(bands):
-        hit = hit | F.coalesce(least[b].isin(sorted({t["least"][b] for t in table})), F.lit(False))
-    found = windows.where(hit).select("__id", "__t", "__at", F.array(*(F.col(f"h{k}") for k in range(width))).alias("__s"), F.array(*least).alias("__m"))
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__t"), F.inline(windows_of(text, {h for t in table for h, _ in t["shingles"]})))
+    least = F.array(*(F.expr(f"array_min(transform(__s, h -> h ^ {m}L))") for m in masks(bands)))
+    found = rows.select("*", least.alias("__m"))
     literal = F.array(
         *(
             F.struct(
