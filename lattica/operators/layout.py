@@ -46,15 +46,14 @@ def rechunk_by_group(objects: DataFrame, groups: DataFrame, oid: str = "oid") ->
     members = groups.select("gid", "position", F.explode("members").alias(oid))
     won = members.groupBy(oid).agg(F.max_by("gid", "position").alias("gid"))
     dense = won.select("gid").distinct().withColumn("bin", (F.row_number().over(W.orderBy("gid")) - 1).cast("long"))
-    placed = objects.join(won, oid, "left").join(F.broadcast(dense), "gid", "left")
-    last = dense.agg(F.coalesce(F.max("bin") + 1, F.lit(0)).alias("__last"))
-    return placed.crossJoin(F.broadcast(last)).withColumn("bin", F.coalesce("bin", "__last")).drop("__last")
+    placed = objects.join(won, oid, "left").join(dense, "gid", "left")
+    return placed.withColumn("bin", F.coalesce("bin", F.lit(dense.count()).cast("long")))
 
 
 def dense_bins(df: DataFrame, column: str = "bin") -> DataFrame:
     """Renumber the bins that hold rows from 0, in order."""
     table = df.select(column).distinct().withColumn("__dense", (F.row_number().over(W.orderBy(column)) - 1).cast("long"))
-    return df.join(F.broadcast(table), column).drop(column).withColumnRenamed("__dense", column)
+    return df.join(table, column).drop(column).withColumnRenamed("__dense", column)
 
 
 def rechunk(vertices: DataFrame, sizes: Sequence[float], axes: Sequence[str] = grid.AXES) -> DataFrame:

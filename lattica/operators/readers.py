@@ -104,13 +104,13 @@ def append_objects(existing: DataFrame, new: DataFrame, *, bins: DataFrame | Non
 
     Both rules are checked as part of the job: the first row that breaks one fails it.
     """
-    top = existing.agg(F.coalesce(F.max("oid"), F.lit(-1)).alias("__top"))
-    fresh = F.when(F.col("oid") > F.col("__top"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("object id in use: "), F.col("oid").cast("string"))).cast("boolean"))
-    checked = new.join(F.broadcast(top)).where(fresh).drop("__top")
+    top = existing.agg(F.coalesce(F.max("oid"), F.lit(-1)).alias("top")).first()["top"]
+    fresh = F.when(F.col("oid") > top, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("object id in use: "), F.col("oid").cast("string"))).cast("boolean"))
+    checked = new.where(fresh)
     if bins is not None and bin_column:
         known = bins.select(bin_column).distinct().withColumn("__known", F.lit(True))
         ok = F.when(F.col("__known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such bin: "), F.coalesce(F.col(bin_column).cast("string"), F.lit("null")))).cast("boolean"))
-        checked = checked.join(F.broadcast(known), bin_column, "left").where(ok).drop("__known")
+        checked = checked.join(known, bin_column, "left").where(ok).drop("__known")
     return existing.unionByName(checked.select(*existing.columns), allowMissingColumns=True)
 
 

@@ -751,8 +751,8 @@ def octree_leaf_neighbours(spark, d):
 @query("append_objects", "SELECT count(*) AS n, count(DISTINCT oid) AS n_objects, max(oid) AS top FROM (SELECT o_orderkey AS oid FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders) FROM orders WHERE o_orderstatus = 'F')")
 def append_objects(spark, d):
     orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("oid"), F.col("o_orderstatus").alias("status"))
-    top = orders.agg((F.max("oid") + 1).alias("shift"))
-    new = orders.where("status = 'F'").join(F.broadcast(top)).select((F.col("oid") + F.col("shift")).alias("oid"), "status")
+    shift = orders.agg(F.max("oid").alias("top")).first()["top"] + 1
+    new = orders.where("status = 'F'").select((F.col("oid") + shift).alias("oid"), "status")
     both = readers.append_objects(orders, new, bins=orders.select("status").distinct(), bin_column="status")
     return both.agg(F.count("*").alias("n"), F.countDistinct("oid").alias("n_objects"), F.max("oid").alias("top"))
 
