@@ -101,7 +101,10 @@ def sparsify(objects: DataFrame, sparsity: float, *, oid: str = "oid", seed: int
         if strategy not in _select:
             raise CoarseningError(f"no such selection: {strategy}")
         return _select[strategy](objects, target, oid=oid, seed=seed, **context)
-    return objects.select(oid).orderBy(F.xxhash64(F.lit(seed).cast("long"), F.col(oid).cast("long")), oid).limit(target)
+    from lattica.operators.points import number_rows
+
+    hashed = objects.select(oid, F.xxhash64(F.lit(seed).cast("long"), F.col(oid).cast("long")).alias("__hash"))
+    return number_rows(hashed, ["__hash", oid], "__n").where(F.col("__n") < target).select(oid)
 
 
 def build_pyramid(vertices: DataFrame, bins: Sequence[float], factors: Sequence[tuple[float, float]], *, axes: Sequence[str] = grid.AXES, seed: int = 0) -> list[DataFrame]:
