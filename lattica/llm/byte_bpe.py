@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, long_id, read_table, text_groups
+from .common import ChunkCache, long_id, read_table, text_groups, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _SHIFT = {b: 0x100 + b for b in range(256)}
@@ -161,7 +161,7 @@ def encode_decode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
     rows = df.select(long_id(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"{id_col} long, ids binary, decoded binary")
+    return rows.mapInArrow(trimmed(run), f"{id_col} long, ids binary, decoded binary")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

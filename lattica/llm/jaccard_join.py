@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, long_id, materialize, read_table, text_groups
+from .common import input_bytes, long_id, materialize, read_table, text_groups, trimmed
 from .components import connected_components, rekeyed
 
 WIDTH = 5
@@ -425,7 +425,7 @@ def spanning(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sized(parts: int, rows: DataFrame, run, schema: str) -> DataFrame:
-    return rows.repartitionById(parts, F.col("at")).mapInArrow(run, schema)
+    return rows.repartitionById(parts, F.col("at")).mapInArrow(trimmed(run), schema)
 
 
 def candidate_edges(texts: DataFrame, width: int, parts: int) -> DataFrame:
@@ -434,7 +434,7 @@ def candidate_edges(texts: DataFrame, width: int, parts: int) -> DataFrame:
     ``texts`` has id and text.
     """
     blob = "at int, blob binary"
-    rows = texts.mapInArrow(_index(parts, width), blob)
+    rows = texts.mapInArrow(trimmed(_index(parts, width)), blob)
     rows = _sized(parts, rows, _count(parts), blob)
     rows = _sized(parts, rows, _allocate(parts), blob)
     return _sized(parts, rows, _connect, "a long, b long")
@@ -557,7 +557,7 @@ def jaccard_components(
     """
     texts = df.select(long_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(1, min(100_000, round(input_bytes(df, text_col) / (part_mb * 1e6))))
-    sizes = materialize(texts.mapInArrow(_describe(width), "id long, n_shingles long, set_hash long"), "sets")
+    sizes = materialize(texts.mapInArrow(trimmed(_describe(width)), "id long, n_shingles long, set_hash long"), "sets")
     candidates = connected_components(candidate_edges(texts, width, parts))
     present = sizes.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(present.groupBy("set_hash").agg(F.min("id").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
@@ -569,8 +569,8 @@ def jaccard_components(
     dealt = materialize(members.withColumn("key", rekeyed("component")).join(totals, "key").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
     # the same plan at every size: texts are never weighed against a broadcast
     clustered = texts.join(dealt.hint("merge"), texts["id"] == dealt["node"]).select("id", "text", "component", "blocks", "mine")
-    spread = clustered.mapInArrow(_spread(width), "cluster long, pair long, doc long, raw binary")
-    pairs = spread.repartition(max(parts, 12), "cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_verify, "a long, b long")
+    spread = clustered.mapInArrow(trimmed(_spread(width)), "cluster long, pair long, doc long, raw binary")
+    pairs = spread.repartition(max(parts, 12), "cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(trimmed(_verify), "a long, b long")
     linked = connected_components(pairs)
     labelled = classes.join(linked, classes["class_id"] == linked["node"], "left").select("set_hash", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sizes.join(labelled, "set_hash", "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, input_bytes, long_id, read_table, text_groups
+from .common import ChunkCache, input_bytes, long_id, read_table, text_groups, trimmed
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -58,7 +58,7 @@ class WordBpe:
             raise ValueError("the vocabulary has ids beyond 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache = ChunkCache(self._fill, 500_000)
+        self.cache = ChunkCache(self._fill, 400_000)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,7 +91,7 @@ class WordBpe:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        for a, b in text_groups(texts, 3_000_000):
+        for a, b in text_groups(texts, 2_000_000):
             cuts = [(t or "").replace("\n", " ").split(" ") for t in texts[a:b]]
             get = self.cache.resolve(set().union(*cuts))
             out += [b"".join(map(get, c)) for c in cuts]
@@ -177,7 +177,7 @@ def tokenise(df: DataFrame, *, id_col: str, text_col: str, path: str, seed: int,
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "key", "at", "ids"][: len(columns)])
 
     rows = df.select(long_id(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"{id_col} long, key long" + ", at int, ids binary" * (bounds is not None))
+    return rows.mapInArrow(trimmed(run), f"{id_col} long, key long" + ", at int, ids binary" * (bounds is not None))
 
 
 def pack(
@@ -235,7 +235,7 @@ def pack(
                 yield _pieces(out, id_col)
 
     ordered = dealt.sortWithinPartitions("key", id_col).select(id_col, "ids", "at")
-    return ordered.mapInArrow(run, f"{id_col} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ordered.mapInArrow(trimmed(run), f"{id_col} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def _pieces(rows: list[tuple], id_col: str) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_id, read_table, text_groups
+from .common import long_id, read_table, text_groups, trimmed
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
             columns = [batch.column(i) for i in range(3)] + [pa.array([list(f[k]) for f in found], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["h", "id", "y", "cells", "counts"])
 
-    learnt = rows.mapInArrow(run, "h long, id long, y int, cells array<int>, counts array<double>").toArrow()
+    learnt = rows.mapInArrow(trimmed(run), "h long, id long, y int, cells array<int>, counts array<double>").toArrow()
     order = sorted(range(learnt.num_rows), key=lambda i: tuple(learnt.column(c)[i].as_py() for c in range(3)))
     found = [tuple(np.array(learnt.column(c)[i].as_py(), t) for c, t in ((3, np.int64), (4, np.float64))) for i in order]
     return Voter(found, [learnt.column(2)[i].as_py() for i in order], rank, neighbours, seed)
@@ -196,7 +196,7 @@ def classify(docs: DataFrame, voter: Voter, *, id_col: str = "doc_id", text_col:
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score, pa.float64())], [id_col, "score"])
 
-    return rows.mapInArrow(run, docs.schema if keep_columns else f"{id_col} long, score double")
+    return rows.mapInArrow(trimmed(run), docs.schema if keep_columns else f"{id_col} long, score double")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_id, read_table, text_groups
+from .common import long_id, read_table, text_groups, trimmed
 
 WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 #: Fixed values of the contract.
@@ -157,7 +157,7 @@ def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str =
             yield pa.RecordBatch.from_pylist([{"name": m.name, "seconds": m.seconds, "rejected": m.rejected, "seen": m.seen} for m in found])
 
     some = df.where(F.pmod(F.xxhash64(id_col), F.lit(64)) == 0).select(F.col(text_col).cast("string").alias("t")).limit(bound)
-    figures = some.mapInArrow(run, "name string, seconds double, rejected long, seen long")
+    figures = some.mapInArrow(trimmed(run), "name string, seconds double, rejected long, seen long")
     sums = figures.groupBy("name").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "seen"))).collect()
     by = {r["name"]: Measured(r["name"], r["seconds"], r["rejected"], r["seen"]) for r in sums}
     return sorted(rules, key=lambda r: (-by[r.name].rate, by[r.name].seconds) if r.name in by else (0.0, 0.0))
@@ -202,7 +202,7 @@ def apply_rules(
                     by = judge(texts[a:b])[2]
                     yield batch.slice(a, b - a).filter(pa.array([x is None for x in by]))
 
-        return df.mapInArrow(keep, df.schema)
+        return df.mapInArrow(trimmed(keep), df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +217,7 @@ def apply_rules(
     out_names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"]
     kinds = ["long"] * 6 + ["boolean", "string", "boolean"]
     rows = df.select(long_id(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(out_names, kinds, strict=True)))
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{n} {k}" for n, k in zip(out_names, kinds, strict=True)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, long_id, read_table, text_groups
+from .common import ChunkCache, long_id, read_table, text_groups, trimmed
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -174,7 +174,7 @@ def count_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], [id_col, "n_tokens"])
 
     rows = df.select(long_id(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"{id_col} long, n_tokens long")
+    return rows.mapInArrow(trimmed(run), f"{id_col} long, n_tokens long")
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
