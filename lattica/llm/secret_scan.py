@@ -6,10 +6,14 @@ code points.
 
 The method looks at every run of 20 or more token characters, a letter among them, that no
 base span touches.
-Its encoding is inferred (hexadecimal, base 32, base 62, base 64), characters become
-numbers of that alphabet, and three tests ask whether the run could be uniformly random:
-chi-squared over four bins of the alphabet, Wald-Wolfowitz runs about the middle, and lag-1
-serial correlation.  A run's p-value is the least of the three times three.  Within a
+Its alphabet is inferred from the classes of characters that occur: hexadecimal; base 32 in
+either case, if letters of one case and digits 2-7 alone occur; otherwise the union of those
+of A-Z, a-z, 0-9 and the two signs that occur, so letters of one case, base 36, base 52, base
+62 and base 64 among others.  Characters become numbers of that alphabet, and four tests ask
+whether the run could be uniformly random: chi-squared over four bins of the alphabet,
+Wald-Wolfowitz runs about the middle, lag-1 serial correlation, and a score of neighbouring
+letters that words have more of than uniform letters, without regard to case and not for
+hexadecimal runs.  A run's p-value is the least of the four times four.  Within a
 document the p-values, divided by weights in proportion to length, go through the
 Benjamini-Hochberg step-up rule; runs it rejects are not random, the others are secrets of
 kind ``random``.  Long runs, whose tests have more power, get more of the error rate.
@@ -37,12 +41,20 @@ BASE = (
 KIND = "random"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 RATE = 0.01
-_ALPHABETS = {
-    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
-    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    "base62": ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-}
+_UPPER, _LOWER, _DIGITS, _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/"
+#: Runs of one kind of encoding, tried in order; other runs have the classes that occur.
+_ENCODINGS = (("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"), ("^(?=.*[2-7])[A-Z2-7]+$", _UPPER + "234567"), ("^(?=.*[2-7])[a-z2-7]+$", _LOWER + "234567"))
+_CLASSES = (("[A-Z]", _UPPER), ("[a-z]", _LOWER), ("[0-9]", _DIGITS), ("[+/_-]", _SIGNS))
+#: Rounded, shifted logarithms of how often a letter (row) stands before another (column) inside words of English texts.
+_PAIRS = (
+    "06660261504768050778543240512150004306104305305000506030710650560182044650002061147031700442600244410030"
+    "63675541401658255886154651400144007003006005044000303000602560022332053050000060008000600110600317600020"
+    "56766650402668740678150304300040000000002000202000004102520030020111004020100071147200700610620064520050"
+    "73127020600450660040410020606764705033246201784401503466375133267856085665521260126003500621650765500170"
+    "00030000000000000000500000714483507054547305665320504041821570231165026762204070328309801441763667504150"
+    "56445140501556050666000100500070206000002000000000005000400560010350033000200030303000200000030005000020"
+    "2025301030021355044600100120004000200000100000000001"
+)
 
 _SPAN = "struct<s:int,o:int,e:int,kind:string>"
 
@@ -70,30 +82,48 @@ def _upper_tail(z: str) -> str:
     return f"if({z} >= 0, {tail}, 1 - {tail})"
 
 
+def _pair_moments() -> tuple[float, float, float]:
+    """Mean and variance of the score of a pair of uniform letters, and covariance of two pairs that share a letter."""
+    rows = [[int(c) for c in _PAIRS[26 * i : 26 * i + 26]] for i in range(26)]
+    mean = sum(map(sum, rows)) / 676
+    shared = sum(sum(r[b] for r in rows) * sum(rows[b]) for b in range(26)) / 26**3 - mean * mean
+    return mean, sum((x - mean) ** 2 for r in rows for x in r) / 676, shared
+
+
 def randomness(token: str) -> str:
     """SQL for the p-value of the battery, of a column or lambda variable with 20 characters or more."""
-    cases = "".join(f"when {token} rlike '{p}' then '{a}' " for p, a in list(_ALPHABETS.values())[:-1])
-    alphabet = f"case {cases}else '{_ALPHABETS['base64'][1]}' end"
+    mean, spread, shared = _pair_moments()
+    cases = "".join(f"when {token} rlike '{p}' then '{a}' " for p, a in _ENCODINGS)
+    classes = ", ".join(f"if({token} rlike '{p}', '{a}', '')" for p, a in _CLASSES)
+    alphabet = f"case {cases}else concat({classes}) end"
     # v: each character's number in its alphabet; the url-safe signs stand for + and /
     numbers = f"""transform(array({alphabet}), a -> named_struct(
         'k', length(a), 'n', length({token}),
         'v', transform(sequence(1, length({token})), i -> locate(translate(if(length(a) = 16, lower(substr({token}, i, 1)), substr({token}, i, 1)), '-_', '+/'), a) - 1)))[0]"""
-    counts = f"""transform(array({numbers}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
+    # l: letters from 0 to 25, others -1; three letters in a row are two pairs that share one
+    letters = f"""transform(array({numbers}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
+        'l', transform(sequence(1, y.n), i -> locate(lower(substr({token}, i, 1)), '{_LOWER}') - 1)))[0]"""
+    pairs = f"""transform(array({letters}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
+        'pairs', if(y.k = 16, 0D, aggregate(sequence(1, y.n - 1), 0D, (s, i) -> s + if(y.l[i - 1] >= 0 and y.l[i] >= 0, 1D, 0D))),
+        'triples', aggregate(sequence(2, y.n - 1), 0D, (s, i) -> s + if(y.l[i - 2] >= 0 and y.l[i - 1] >= 0 and y.l[i] >= 0, 1D, 0D)),
+        'score', aggregate(sequence(1, y.n - 1), 0D, (s, i) -> s + if(y.l[i - 1] >= 0 and y.l[i] >= 0, ascii(substr('{_PAIRS}', 26 * y.l[i - 1] + y.l[i] + 1, 1)) - 48 - {mean}D, 0D))))[0]"""
+    counts = f"""transform(array({pairs}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
+        'z4', if(y.pairs = 0, -9D, y.score / sqrt(y.pairs * {spread}D + 2 * y.triples * {shared}D)),
         'mean', aggregate(y.v, 0D, (s, x) -> s + x) / y.n,
         'above', aggregate(y.v, 0D, (s, x) -> s + if(2 * x >= y.k, 1D, 0D)),
         'runs', aggregate(sequence(2, y.n), 1D, (s, i) -> s + if((2 * y.v[i - 1] >= y.k) <> (2 * y.v[i - 2] >= y.k), 1D, 0D)),
         'chi', aggregate(sequence(0, 3), 0D, (s, b) -> s + pow(
             size(filter(y.v, x -> x * 4 div y.k = b)) - y.n * size(filter(sequence(0, y.k - 1), x -> x * 4 div y.k = b)) / y.k, 2)
             / (y.n * size(filter(sequence(0, y.k - 1), x -> x * 4 div y.k = b)) / y.k))))[0]"""
-    moments = f"""transform(array({counts}), y -> named_struct('n', y.n, 'runs', y.runs, 'chi', y.chi,
+    moments = f"""transform(array({counts}), y -> named_struct('n', y.n, 'runs', y.runs, 'chi', y.chi, 'z4', y.z4,
         'expected', 2 * y.above * (y.n - y.above) / y.n + 1,
         'var', aggregate(y.v, 0D, (s, x) -> s + pow(x - y.mean, 2)),
         'cov', aggregate(sequence(2, y.n), 0D, (s, i) -> s + (y.v[i - 1] - y.mean) * (y.v[i - 2] - y.mean))))[0]"""
-    scores = f"""transform(array({moments}), y -> named_struct(
+    scores = f"""transform(array({moments}), y -> named_struct('z4', y.z4,
         'z1', (pow(y.chi / 3, 1 / 3D) - (1 - 2 / 27D)) / sqrt(2 / 27D),
         'z2', if(y.expected <= 2, 99D, abs(y.runs - y.expected) / sqrt((y.expected - 1) * (y.expected - 2) / (y.n - 1))),
         'z3', if(y.var = 0, 99D, abs(y.cov / y.var) * sqrt(y.n))))[0]"""
-    return f"transform(array({scores}), y -> least(1D, 3 * least({_upper_tail('y.z1')}, 2 * {_upper_tail('y.z2')}, 2 * {_upper_tail('y.z3')})))[0]"
+    return f"transform(array({scores}), y -> least(1D, 4 * least({_upper_tail('y.z1')}, 2 * {_upper_tail('y.z2')}, 2 * {_upper_tail('y.z3')}, {_upper_tail('y.z4')})))[0]"
 
 
 def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -187,6 +187,21 @@ def test_randomness_battery_tells_secrets_from_words(spark):
     assert not any(hit[len(secrets) + i] for i in range(len(words)))
 
 
+def test_random_tokens_of_every_alphabet_are_secrets(spark):
+    rng = random.Random(4)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"lower": low, "upper": up, "base32 lower": low + "234567", "base32 upper": up + "234567", "base36 lower": low + digits, "base36 upper": up + digits, "base52": low + up, "base62": low + up + digits, "base64": low + up + digits + "+/", "url-safe": low + up + digits + "-_", "hex": digits + "abcdef"}
+    planted = [(name, "".join(rng.choice(a) for _ in range(n))) for name, a in alphabets.items() for n in (20, 24, 32, 40) for _ in range(40)]
+    words = ["counterrevolutionaries", "some-long-file-name-of-a-page", "org/apache/spark/sql/functions", "test_readers_are_native_too", "getElementsByClassNameAndTag", "MAXIMUM_NUMBER_OF_RETRIES", "internationalization2024release"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([t for _, t in planted] + words)], "doc_id long, text string")
+    hit = {r["doc_id"]: bool(r["s"]) for r in secret_scan.find_secrets(df).select("doc_id", secret_scan.render("spans").alias("s")).collect()}
+    for name in alphabets:
+        mine = [hit[i] for i, (a, _) in enumerate(planted) if a == name]
+        assert sum(mine) >= 0.95 * len(mine), name
+    assert not any(hit[len(planted) + i] for i in range(len(words)))
+    assert not any(hit[r["doc_id"]] and r["doc_id"] < len(planted) and r["text"] != "x [secret] y" for r in secret_scan.redact(df).collect())
+
+
 def test_redaction_takes_effect(spark):
     rows = [(1, "a password=abcdefgh12 b", "en", 23), (2, None, None, None), (3, "é clean", "fr", 7), (4, "token = \"" + "0af3" * 10 + "\" end", "en", 55)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
