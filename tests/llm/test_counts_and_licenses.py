@@ -107,3 +107,20 @@ def test_license_edges_and_native_plan(spark, small):
     with pytest.raises(ValueError):
         license_scan.template_table(spark, (("long", " ".join(f"w{i}" for i in range(70))),), 4)
     assert license_scan.scan(df, templates=(("two", "mit license"),)).where(F.col("license") == "two").count() == 2
+
+
+def test_full_texts_headers_and_tags(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(500)]
+    fsf = "it under the terms of the GNU {} as published by the Free Software Foundation, either version {}"
+    rows = [(name, text) for name, text in license_scan.texts()]
+    for name, text in license_scan.texts():  # every thirtieth word is another one
+        rows.append((name, " ".join(rng.choice(words) if i % 30 == 7 else w for i, w in enumerate(text.split()))))
+    rows += [("GPL-3.0", fsf.format("General Public License", "3")), ("AGPL-3.0", fsf.format("Affero General Public License", "3")), ("LGPL-2.1", fsf.format("Lesser General Public License", "2.1"))]
+    rows += [(name, f"# {text}") for name, text in license_scan.TAGS]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    df = spark.createDataFrame([(i, f"{fill(9)} {text} {fill(9)}") for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: {x.split(":")[0] for x in r["licenses"].split(",") if x} for r in license_scan.licenses(df).collect()}
+    assert [(name, got[i]) for i, (name, _) in enumerate(rows) if name not in got[i]] == []
+    texts = len(license_scan.texts())
+    assert [(name, got[i]) for i, (name, _) in enumerate(rows) if i >= 2 * texts and got[i] != {name}] == []
