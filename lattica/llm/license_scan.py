@@ -13,7 +13,8 @@ over the text do, those with the longest words in their stretch of it.
 
 What is retrieved is verified exactly.  The places in the document of all shingles of the
 template are cut into local runs where they are more than ``WINDOW`` words, for long texts a
-quarter of their shingles, apart.  A run that holds ``CONTAINMENT`` of the template's distinct
+quarter of their shingles, apart, and for notices also where the template begins again: its
+shingles, those it repeats aside, go back by more than half of it.  A run that holds ``CONTAINMENT`` of the template's distinct
 shingles is an occurrence.  It is dropped only if most of its places belong to an occurrence
 of another license with a greater product of share and matched shingles.  A license is
 reported once, with its greatest share; several templates may have its SPDX identifier.
@@ -204,12 +205,15 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templ
     place = F.expr(f"array({', '.join(map(_long, keys))})")
     retrieved = hit.select("__id", "__t", "h", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.get(owners, (F.array_position(place, x) - 1).cast("int"))))).alias("__own"))
     # the places of every shingle of what was retrieved, cut into local runs
-    pairs = materialize(spark.createDataFrame([(r["k"], x, len(set(r["h"]))) for r in hashed for x in set(r["h"])], "k int, x long, size int"), "license_pairs")
+    pairs = materialize(spark.createDataFrame([(r["k"], x, len(set(r["h"])), r["h"].index(x) if r["h"].count(x) == 1 else None) for r in hashed for x in set(r["h"])], "k int, x long, size int, nth int"), "license_pairs")
     at = retrieved.select("__id", "__t", "__own", F.posexplode("h").alias("at", "x"))
-    held = at.join(F.broadcast(pairs), "x").where("array_contains(__own, k)").select("__id", "__t", "k", "size", "at", "x").distinct()
+    held = at.join(F.broadcast(pairs), "x").where("array_contains(__own, k)").select("__id", "__t", "k", "size", "at", "x", "nth").repartition("__id", "__t", "k").distinct()
     order = W.partitionBy("__id", "__t", "k").orderBy("at")
     apart = F.when(F.col("size") > 63, F.greatest(F.lit(WINDOW), F.floor(F.col("size") / 4))).otherwise(F.lit(WINDOW))
-    cut = held.withColumn("__new", (F.col("at") - F.lag("at").over(order) > apart).cast("int")).withColumn("__run", F.sum(F.coalesce("__new", F.lit(0))).over(order))
+    before = F.last("nth", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    again = (F.col("size") <= 63) & (2 * (before - F.col("nth")) > F.col("size"))
+    new = (F.col("at") - F.lag("at").over(order) > apart) | F.coalesce(again, F.lit(False))
+    cut = held.withColumn("__new", new.cast("int")).withColumn("__run", F.sum(F.coalesce("__new", F.lit(0))).over(order))
     runs = cut.groupBy("__id", "__t", "k", "size", "__run").agg(F.size(F.collect_set("x")).alias("n"), F.collect_list("at").alias("places"))
     names = F.array(*(F.lit(r["name"]) for r in hashed))
     enough = runs.where(F.col("n") / F.col("size") >= containment).select(

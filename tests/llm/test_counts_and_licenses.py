@@ -124,3 +124,14 @@ def test_full_texts_headers_and_tags(spark):
     assert [(name, got[i]) for i, (name, _) in enumerate(rows) if name not in got[i]] == []
     texts = len(license_scan.texts())
     assert [(name, got[i]) for i, (name, _) in enumerate(rows) if i >= 2 * texts and got[i] != {name}] == []
+
+
+def test_separate_licenses_of_one_text(spark):
+    rng = random.Random(7)
+    between = " ".join(f"word{rng.randrange(500)}" for _ in range(300))
+    apache, gpl = dict(license_scan.TEMPLATES)["Apache-2.0"], "licensed under the GNU General Public License version 3"
+    rows = [(0, f"{apache} {between} {gpl}"), (1, f"{gpl} {between} {apache}"), (2, f"{apache}; {gpl}"), (3, f"{between} {gpl} {between}")]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["license"]): r["first_word"] for r in found}
+    assert set(got) == {(0, "Apache-2.0"), (0, "GPL-3.0"), (1, "Apache-2.0"), (1, "GPL-3.0"), (2, "Apache-2.0"), (2, "GPL-3.0"), (3, "GPL-3.0")}
+    assert got[0, "GPL-3.0"] == 308 and got[1, "Apache-2.0"] == 309
