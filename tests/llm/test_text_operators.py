@@ -243,6 +243,26 @@ def test_boilerplate_of_other_layouts():
         assert html_text.main_text(page, w) == expected
 
 
+def test_articles_that_are_not_the_page():
+    w = html_text.learn()
+    body = f"<h1>Title here</h1><p>{'prose ' * 60}</p>"
+    expected = "Title here\n\n" + " ".join(["prose"] * 60)
+    for page in (
+        f'<div class="content">{body}</div>' + '<article class="teaser"><h2>Other</h2><p>some other page here</p></article>' * 3,
+        f'<div class="content">{body}</div><div class="comments">' + f'<article class="comment"><p>{"so nice " * 40}</p></article>' * 3 + "</div>",
+        f'<div class="content">{body}</div><article><h3>Read on</h3><p>a short teaser</p></article>',
+        f'<article class="card"><h1>Card</h1><p>{"word " * 90}</p></article><div class="content">{body}</div>',
+    ):
+        assert html_text.main_text(page, w) == expected
+
+
+def test_long_insets_do_not_part_an_article():
+    w = html_text.learn()
+    for inset in (f'<div class="newsletter">{"<p>sign up now</p>" * 40}</div>', f'<div class="advert">{"buy " * 200}</div>', f'<aside>{"more " * 200}</aside>'):
+        page = f"<nav>a b</nav><article><h1>Title</h1><p>A short intro.</p>{inset}<p>{'prose ' * 60}</p></article><footer>x y</footer>"
+        assert html_text.main_text(page, w) == "Title\n\nA short intro.\n\n" + " ".join(["prose"] * 60)
+
+
 def test_pages_give_their_articles(spark, small):
     import html
 
