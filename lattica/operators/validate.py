@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -88,27 +89,66 @@ def conventions(kind: str, widths: set[int], has_links: bool) -> list[str]:
 
 
 def validate(dataset: Dataset, level: int = 5) -> DataFrame:
-    """Violations of all checks up to a level: columns level, check, severity, detail; no rows if all is well."""
+    """Violations of all checks up to a level: columns level, check, severity, detail; no rows if all is well.
+
+    Beside vertices and links these tables are checked where a dataset has them: ``levels``
+    (level, n_vertices), ``manifest`` and ``fragments`` (cells, frag), ``faces`` (face,
+    sorted), ``leaves`` and ``leaf_cells`` (i, j, k; depth in the user block ``octree``).
+    """
     spark = dataset.spark
     rows: list[tuple[int, str, str, str]] = []
     schema = dataset.schema
+    has = {name: dataset.has(name) for name in ("vertices", "links", "levels", "manifest", "fragments", "faces", "leaves", "leaf_cells")}
+    declared = dataset.snapshot()["levels"]
+    lacking = []
+    if has["vertices"]:
+        lacking = [c for c in ("level", "vid", *schema.axes, *("c" + a for a in schema.axes)) if c not in dataset.table("vertices").columns]
+        rows += [(1, "structure", "error", f"vertices lack {c}") for c in lacking]
+    elif declared:
+        rows.append((1, "structure", "error", "levels without vertices"))
+    if has["manifest"] != has["fragments"]:
+        rows.append((1, "structure", "error", "manifest and fragments go together"))
     if level >= 2:
         try:
             schema.check()
         except (SchemaConflict, ValueError) as e:
             rows.append((2, "schema", "error", str(e)))
     found = [spark.createDataFrame(rows, "level int, check string, severity string, detail string")]
-    if not dataset.has("vertices"):
+    if not has["vertices"] or lacking:
         return found[0]
     vertices = dataset.table("vertices")
+    written = spark.createDataFrame([(k,) for k in declared], "level int")
+    real = vertices.groupBy(F.col("level").cast("int").alias("level")).agg(F.count("*").alias("n_vertices"))
+    both = written.withColumn("__w", F.lit(True)).join(real, "level", "full")
+    found.append(violation(both.where("__w is null or n_vertices is null"), 1, "levels have vertices", F.col("level")))
+    settings = dataset.user("pyramid") or {}
+    scales = [1.0]
+    for factor, _ in settings.get("factors", []):
+        scales.append(scales[-1] * factor)
     if level >= 3:
-        found += [not_finite(vertices, schema.axes), misplaced(vertices, schema.chunk, schema.axes)]
-        if dataset.has("links"):
+        found.append(not_finite(vertices, schema.axes))
+        for k, scale in enumerate(scales):  # cells of a coarser level are larger
+            rest = F.col("level") == k if len(scales) > 1 else F.lit(True)
+            found.append(misplaced(vertices.where(rest), [c * scale for c in schema.chunk], schema.axes))
+        if has["links"]:
             found.append(dangling_links(dataset.table("links"), vertices))
+        if has["levels"]:
+            found.append(wrong_counts(vertices, dataset.table("levels")))
+        if has["manifest"] and has["fragments"]:
+            found.append(dangling_manifests(dataset.table("manifest"), dataset.table("fragments"), [*("c" + a for a in schema.axes), "frag"]))
+        if has["faces"]:
+            found.append(uncanonical(dataset.table("faces")))
+        if has["leaves"] and has["leaf_cells"]:
+            found.append(untied_leaves(dataset.table("leaf_cells"), dataset.table("leaves"), (dataset.user("octree") or {})["depth"]))
     if level >= 4:
-        for text in conventions(schema.kind, set(), dataset.has("links")):
+        widths = {r["n"] for r in dataset.table("faces").select(F.size("sorted").alias("n")).distinct().collect()} if has["faces"] else set()
+        for text in conventions(schema.kind, widths, has["links"] or has["faces"]):
             found.append(spark.createDataFrame([(4, "conventions", "error", text)], found[0].schema))
+        if schema.chunk_by and schema.chunk_by in vertices.columns:
+            found.append(mixed_bins(vertices, schema.chunk_by))
     if level >= 5:
-        counts = vertices.groupBy("level").agg(F.count("*").alias("n_vertices")).withColumn("bin_volume", F.lit(0.0))
-        found.append(pyramid_counts(counts))
+        # stored bins of a pyramid; without one, no level has bins to compare
+        sizes = settings.get("bins") or schema.bins or schema.chunk
+        volumes = [(k, float(math.prod(x * scale for x in sizes))) for k, scale in enumerate(scales)]
+        found.append(pyramid_counts(real.join(spark.createDataFrame(volumes, "level int, bin_volume double"), "level", "left")))
     return reduce(DataFrame.unionByName, found)

@@ -102,6 +102,29 @@ def test_validate_clean_and_broken(spark, ds):
     assert validate(ds).count() == 50
 
 
+def test_validate_calls_every_check(spark, tmp_path):
+    mesh = Dataset.create(spark, f"file://{tmp_path}/mesh", Schema("mesh", ("x", "y"), (10.0, 10.0), chunk_by="w", attributes={"w": "float64"}))
+    mesh.write_vertices(rows(spark))
+    df = spark.createDataFrame
+    mesh.commit(
+        {
+            "levels": df([(0, 49)], "level int, n_vertices long"),
+            "fragments": df([(0, 0, 0)], "cx long, cy long, frag long"),
+            "manifest": df([(7, 0, 0, 0), (8, 0, 0, 1)], "oid long, cx long, cy long, frag long"),
+            "faces": df([(1, [1, 2, 3]), (2, [5, 4])], "face long, sorted array<long>"),
+            "leaf_cells": df([(0, 0, 0)], "i long, j long, k long"),
+        },
+        levels=[1],
+    )
+    mesh.set_user("pyramid", {"factors": [[0.5, 1.0]], "bins": [5.0, 5.0]})
+    coarse = mesh.table("vertices").selectExpr("* except (level, cx, cy)", "1 as level", "cast(floor(x / 5) as bigint) cx", "cast(floor(y / 5) as bigint) cy").limit(9)
+    found = [(r["level"], r["check"]) for r in validate(mesh).collect()]
+    assert {(1, "levels have vertices"), (3, "counts are right"), (3, "manifests name fragments"), (3, "links are canonical"), (4, "conventions"), (4, "one bin for an object")} <= set(found)
+    mesh.commit({"vertices": mesh.table("vertices").unionByName(coarse)})
+    found = [(r["level"], r["check"]) for r in validate(mesh).collect()]
+    assert (5, "pyramid narrows") in found and (1, "levels have vertices") not in found and (3, "vertices in their cells") not in found
+
+
 def test_report_merge():
     a, b = Report(remap={1: 5}, moved=1), Report(remap={5: 8, 2: 3}, added=2, snapshot=9)
     both = a.merge(b)
