@@ -169,6 +169,64 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_more_vectors_need_more_passes():
-    assert embedding_dedup.passes_for(100) == 8
-    assert embedding_dedup.passes_for(10**6) < embedding_dedup.passes_for(10**9)
+def test_more_shared_bits_need_more_passes():
+    assert embedding_dedup.passes_for({}) == 1
+    assert embedding_dedup.passes_for({2: 100}) < embedding_dedup.passes_for({12: 100}) < embedding_dedup.passes_for({12: 50, 20: 50})
+
+
+def test_window_edges_connect_what_all_candidates_connect():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, (40, 2)).astype(np.uint64)
+    codes = np.concatenate([centres, np.repeat(centres[:4], [3, 8, 40, 200], axis=0)])
+    flips = rng.integers(0, 128, (len(codes), 9))
+    for row, some in zip(codes, flips, strict=True):
+        for f in some[: rng.integers(0, 9)].tolist():
+            row[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+    new, old = codes[::2], codes[1::2]
+    i, j, dense = embedding_dedup.window_edges(new, old, 12)
+    both = np.concatenate([new, old])
+    near = np.bitwise_count(both[:, None] ^ both[None]).astype(int).sum(2) <= 12
+    nodes = list(range(len(both)))
+    all_pairs = [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a < b and a < len(new)]
+    assert all(near[a, b] and a != b for a, b in zip(i, j, strict=True)) and dense > 50
+    assert brute_components(nodes, zip(i.tolist(), j.tolist(), strict=True)) == brute_components(nodes, all_pairs)
+    assert len(i) < 4 * len(both)
+
+
+def test_large_components_are_counted_exactly(spark):
+    """A core, a fringe, tiles of a few rows, copies, and a component without a core."""
+    rng = np.random.default_rng(8)
+    near = lambda c, s, n: c + rng.normal(size=(n, 24)) * s
+    a, b = rng.normal(size=24), rng.normal(size=24)
+    rows = np.concatenate([near(a, 0.1, 150), near(a, 0.42, 80), near(b, 0.3, 120)]).astype(np.float32)
+    x = rows / np.linalg.norm(rows.astype(float), axis=1)[:, None]
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    copies = rng.integers(1, 4, len(rows))
+    classes = spark.createDataFrame([(i, int(c), bytearray(r.tobytes())) for i, (c, r) in enumerate(zip(copies, rows, strict=True))], "rep long, copies long, raw binary")
+    labels = spark.createDataFrame([(i, 0 if i < 230 else 230) for i in range(len(rows))], "node long, component long")
+    within = np.array([[(i < 230) == (j < 230) for j in range(len(rows))] for i in range(len(rows))])
+    expected = (close & within) @ copies
+    for tile_mb, small in ((16.0, 2048), (0.004, 2048), (0.03, 60)):
+        found = {r["node"]: r["others"] for r in embedding_dedup.link_counts(labels, classes, 0.9, "<f4", tile_mb, small).collect()}
+        assert [found.get(i, 0) for i in range(len(rows))] == expected.tolist()
+
+
+def test_ranges_windows_and_dense_runs(spark):
+    """Many ranges a pass, and a dense run longer than a window and a range: recall against brute force."""
+    rng = np.random.default_rng(1)
+    loose = rng.normal(size=(2500, 32))
+    pairs = np.concatenate([loose[:700] + rng.normal(size=(700, 32)) * 0.3, loose[:100] + rng.normal(size=(100, 32)) * 0.05])
+    run = loose[900] + rng.normal(size=(1500, 32)) * 0.1
+    rows = np.concatenate([loose, pairs, run]).astype(np.float32)
+    x = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1)[:, None]
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows.tolist())], "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, block=64, rows_a_part=700, rows_a_job=20_000).collect()}
+    n = np.array([found[i]["n_links"] for i in range(len(rows))])
+    assert (n <= close.sum(1)).all()
+    assert n[: len(loose) + len(pairs)].sum() >= 0.99 * close.sum(1)[: len(loose) + len(pairs)].sum()
+    assert n.sum() >= 0.999 * close.sum()
+    expected = brute_components(range(len(rows)), [(a, b) for a, b in zip(*np.nonzero(close), strict=True) if a < b])
+    assert np.mean([found[i]["component_id"] == expected[i] for i in range(len(rows))]) >= 0.99
