@@ -438,7 +438,7 @@ def _count_tiles(threshold: float, kind: str):
     return run
 
 
-def link_counts(labels: DataFrame, classes: DataFrame, threshold: float, kind: str, tile_mb: float = 16.0, small: int = 2048) -> DataFrame:
+def link_counts(labels: DataFrame, classes: DataFrame, threshold: float, kind: str, tile_mb: float = 16.0, small: int = 512) -> DataFrame:
     """``node, others``: the copies of the other classes of its component that link with each class.
 
     A component of at most ``small`` rows and ``tile_mb`` is compared whole.
