@@ -68,6 +68,24 @@ def box_cells(lo: Sequence[float], hi: Sequence[float], sizes: Sequence[float],
     return out
 
 
+def box_bins(lo: Sequence[float], hi: Sequence[float], sizes: Sequence[float], bins: Sequence[float], axes: Sequence[str] = AXES, column: str = "bin") -> Column:
+    """Bins a box touches, by the number of a bin within its chunk: never fewer rows than the box holds.
+
+    Where the box lies in one cell, the least and the greatest bin are plain bounds that
+    prune row groups.
+    """
+    shape = bins_per_chunk(sizes, bins)
+    out, low, high = F.lit(True), 0, 0
+    stride = math.prod(shape)
+    one_cell = all(math.floor(l / s) == math.floor(h / s) for l, h, s in zip(lo, hi, sizes, strict=True))
+    for a, l, h, b, n in zip(axes, lo, hi, bins, shape, strict=True):
+        stride //= n
+        local = F.pmod(F.floor(F.col(column) / stride).cast("long"), F.lit(n).cast("long"))
+        out = out & (F.col("c" + a) * n + local).between(math.floor(l / b), math.floor(h / b))
+        low, high = low * n + math.floor(l / b) % n, high * n + math.floor(h / b) % n
+    return out & F.col(column).between(low, high) if one_cell else out
+
+
 def in_ball(centre: Sequence[float], radius: float, axes: Sequence[str] = AXES) -> Column:
     """At most ``radius`` from ``centre``, in double precision."""
     return squared_distance(centre, axes) <= float(radius) * float(radius)

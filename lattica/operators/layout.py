@@ -115,34 +115,41 @@ def leaves(cells: DataFrame, depth: int, target: float, axes: Sequence[str] = ("
     return found.select("depth", *axes, weight, grid.morton(anchors, depth).alias("key"))
 
 
-def balance(leaf_rows: Sequence[tuple[int, int, int, int]], cell_set: set[tuple[int, int, int]], depth: int) -> list[tuple[int, int, int, int]]:
-    """Split leaves until touching ones differ by one depth at most; on the driver, over the leaf table alone."""
-    found = set(leaf_rows)
-    again = True
-    while again:
-        again = False
-        for d, i, j, k in sorted(found, reverse=True):
-            for di, dj, dk in grid.offsets(3, 1, centre=False):
-                n = (i + di, j + dj, k + dk)
-                if min(n) < 0 or max(n) >= 1 << d:
-                    continue
-                for up in range(d - 2, -1, -1):
-                    node = (up, n[0] >> (d - up), n[1] >> (d - up), n[2] >> (d - up))
-                    if node in found:
-                        found.remove(node)
-                        shift = depth - up - 1
-                        for child in {(c[0] >> shift, c[1] >> shift, c[2] >> shift) for c in cell_set if tuple(x >> (shift + 1) for x in c) == node[1:]}:
-                            found.add((up + 1, *child))
-                        again = True
-    return sorted(found)
+def balance(leaf_table: DataFrame, cells: DataFrame, depth: int, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
+    """Split leaves until touching ones differ by one depth at most; children without cells are left out.
+
+    Each round finds the leaves that are two depths or more above a neighbour, by an equi-join
+    of places around leaves with leaf addresses, and replaces them by their children.  There
+    are as many rounds as depths at most.
+    """
+    from lattica.sources.store import materialize
+
+    nodes = node_weights(cells.withColumn("__w", F.lit(1)), depth, axes, "__w").select("depth", *axes)
+    found = materialize(leaf_table.select("depth", *axes), "leaves")
+    steps = F.array(*(F.struct(*(F.lit(o).cast("long").alias(a) for a, o in zip(axes, offset, strict=True))) for offset in grid.offsets(3, 1, centre=False)))
+    while True:
+        places = found.select(F.col("depth").alias("d"), *axes, F.explode(steps).alias("o")).select("d", *((F.col(a) + F.col(f"o.{a}")).alias(a) for a in axes))
+        inside = places.where(" and ".join(f"{a} >= 0 and {a} < shiftleft(1L, d)" for a in axes)).distinct()
+        up = inside.where("d >= 2").select("d", *axes, F.explode(F.sequence(F.lit(0), F.col("d") - 2)).alias("depth"))
+        above = up.select("depth", *(F.expr(f"shiftright({a}, d - depth)").alias(a) for a in axes)).distinct()
+        coarse = materialize(found.join(above, ["depth", *axes], "left_semi"), "coarse")
+        if coarse.isEmpty():
+            return found.select("*", grid.morton([F.expr(f"shiftleft(cast({a} as bigint), {depth} - depth)") for a in axes], depth).alias("key"))
+        parents = coarse.select((F.col("depth") + 1).alias("depth"), *(F.col(a).alias("__" + a) for a in axes))
+        children = nodes.select("*", *(F.shiftright(a, 1).alias("__" + a) for a in axes)).join(parents, ["depth", *("__" + a for a in axes)], "left_semi").select("depth", *axes)
+        found = materialize(found.join(coarse, ["depth", *axes], "left_anti").unionByName(children), "leaves")
 
 
 def in_leaf(vertices: DataFrame, leaf_table: DataFrame, depth: int, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
-    """Vertices (with full-depth cells) and the depth and key of their leaf: an equi-join on exploded ancestors."""
-    up = vertices.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    """Vertices (with full-depth cells) and the depth and key of their leaf.
+
+    Leaves are found for distinct cells, by an equi-join on exploded ancestors; vertices meet them by cell.
+    """
+    up = vertices.select(*axes).distinct().withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     keyed = up.select("*", *(F.expr(f"shiftright({a}, {depth} - depth)").alias("__" + a) for a in axes))
     table = leaf_table.select("depth", *(F.col(a).alias("__" + a) for a in axes), "key")
-    return keyed.join(table, ["depth", *("__" + a for a in axes)]).drop(*("__" + a for a in axes))
+    owners = keyed.join(table, ["depth", *("__" + a for a in axes)]).select(*axes, "depth", "key")
+    return vertices.join(owners, list(axes))
 
 
 def address(depth: int, ijk: Sequence[int]) -> str:

@@ -52,7 +52,10 @@ class Selection:
 
     def and_(self, other: Selection) -> Selection:
         def ids(a, b):
-            return b if a is None else a if b is None else tuple(i for i in a if i in set(b))
+            if a is None or b is None:
+                return b if a is None else a
+            other_ids = set(b)
+            return tuple(i for i in a if i in other_ids)
 
         box = other.box if self.box is None else self.box
         if self.box and other.box:
@@ -70,27 +73,27 @@ class Selection:
             attributes=self.attributes if other.attributes is None else other.attributes,
         )
 
-    def predicate(self, sizes: Sequence[float] | None, axes: Sequence[str]) -> Column:
-        """Row terms as one column; a box or ball also bounds the cell columns, so that scans prune."""
+    def predicate(self, sizes: Sequence[float] | None, axes: Sequence[str], bins: Sequence[float] | None = None) -> Column:
+        """Row terms as one column; a box or ball also bounds the cell and bin columns, so that scans prune."""
         out = F.lit(True)
         if self.box:
             out = out & grid.in_box(*self.box, axes)
             if sizes:
                 out = out & grid.box_cells(*self.box, sizes, axes)
+                if bins:
+                    out = out & grid.box_bins(*self.box, sizes, bins, axes)
         if self.near:
             centre, r = self.near
             lo, hi = [c - r for c in centre], [c + r for c in centre]
             out = out & grid.in_box(lo, hi, axes) & grid.in_ball(centre, r, axes)
             if sizes:
                 out = out & grid.box_cells(lo, hi, sizes, axes)
-        if self.cells is not None:
-            found = F.lit(False)
-            for key in self.cells:
-                same = F.lit(True)
-                for a, k in zip(axes, key, strict=False):
-                    same = same & (F.col("c" + a) == int(k))
-                found = found | same
-            out = out & found
+                if bins:
+                    out = out & grid.box_bins(lo, hi, sizes, bins, axes)
+        if self.cells is not None:  # bounds for the scan; the cells themselves are joined
+            out = out & (F.lit(bool(self.cells)))
+            for a, values in zip(axes, zip(*self.cells, strict=True), strict=False):
+                out = out & F.col("c" + a).between(int(min(values)), int(max(values)))
         for name, value in self.where:
             out = out & (F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
         return out
@@ -99,13 +102,13 @@ class Selection:
 class Query:
     """A lazy selection over vertices; each call gives a new query.
 
-    ``sizes`` are the sizes of the cells in columns cx, cy, cz, where there are any.  ``groups``
-    has ``gid`` and ``members``.  A vertex belongs to one object; a level without ``oid``
-    refuses object terms.
+    ``sizes`` are the sizes of the cells in columns cx, cy, cz, where there are any, ``bins``
+    those of column bin.  ``groups`` has ``gid`` and ``members``.  A vertex belongs to one
+    object; a level without ``oid`` refuses object terms.
     """
 
-    def __init__(self, vertices: DataFrame, *, sizes: Sequence[float] | None = None, axes: Sequence[str] = grid.AXES, groups: DataFrame | None = None, order: Sequence[str] = ("vid",), selection: Selection | None = None):
-        self.vertices, self.sizes, self.axes, self.groups, self.order = vertices, sizes, tuple(axes), groups, tuple(order)
+    def __init__(self, vertices: DataFrame, *, sizes: Sequence[float] | None = None, bins: Sequence[float] | None = None, axes: Sequence[str] = grid.AXES, groups: DataFrame | None = None, order: Sequence[str] = ("vid",), selection: Selection | None = None):
+        self.vertices, self.sizes, self.bins, self.axes, self.groups, self.order = vertices, sizes, bins, tuple(axes), groups, tuple(order)
         self.selection = selection or Selection()
 
     def select(self, **terms) -> Query:
@@ -116,31 +119,78 @@ class Query:
             if terms.get(k) is not None:
                 terms[k] = tuple(terms[k])
         merged = self.selection.and_(Selection(**terms))
-        return Query(self.vertices, sizes=self.sizes, axes=self.axes, groups=self.groups, order=self.order, selection=merged)
+        return Query(self.vertices, sizes=self.sizes, bins=self.bins, axes=self.axes, groups=self.groups, order=self.order, selection=merged)
 
     def dataframe(self) -> DataFrame:
         """The rows selected, narrowed to the attributes asked for; ordered only where a limit needs it."""
         s, df = self.selection, self.vertices
         if (s.objects is not None or s.groups is not None) and "oid" not in df.columns:
             raise SelectionError("this level has no object ids")
-        df = df.where(s.predicate(self.sizes, self.axes))
-        if s.objects is not None:
-            df = df.where(F.col("oid").isin(list(s.objects))) if len(s.objects) <= 1000 else df.join(id_frame(df.sparkSession, s.objects), "oid", "left_semi")
-        if s.groups is not None:
-            if self.groups is None:
-                raise SelectionError("this level has no groups")
-            members = self.groups.where(F.col("gid").isin(list(s.groups))).select(F.explode("members").alias("oid"))
-            df = df.join(members, "oid", "left_semi")
+        df = self._chosen(df)
         if s.limit is not None:
-            df = df.orderBy(*self.order).limit(s.limit)
+            df = self._leading(df).orderBy(*self.order).limit(s.limit)
         if s.attributes is not None:
             fixed = [c for c in df.columns if c in {"vid", "oid", "seq", *self.axes, *("c" + a for a in self.axes)}]
             df = df.select(*fixed, *(a for a in s.attributes if a not in fixed))
         return df
 
+    def _chosen(self, df: DataFrame) -> DataFrame:
+        """Rows under all terms but the limit; ids and cells beyond what a plan should hold are joined."""
+        s, spark = self.selection, df.sparkSession
+        df = df.where(s.predicate(self.sizes, self.axes, self.bins))
+        if s.cells:
+            names = ["c" + a for a in self.axes]
+            wanted = spark.createDataFrame(sorted({tuple(map(int, c)) for c in s.cells}), ", ".join(f"{n} long" for n in names))
+            df = df.join(wanted, names, "left_semi")
+        if s.objects is not None:
+            df = df.where(F.col("oid").isin(list(s.objects))) if len(s.objects) <= 1000 else df.join(id_frame(spark, s.objects), "oid", "left_semi")
+        if s.groups is not None:
+            df = df.join(self._members(), "oid", "left_semi")
+        return df
+
+    def _members(self) -> DataFrame:
+        """gid and oid of the groups asked for; a group there is not is an error."""
+        if self.groups is None:
+            raise SelectionError("this level has no groups")
+        asked = {int(g) for g in self.selection.groups}
+        chosen = self.groups.where(F.col("gid").isin(list(asked)))
+        if missing := asked - {r["gid"] for r in chosen.select("gid").collect()}:  # as many as were asked for
+            raise SelectionError(f"no group {', '.join(map(str, sorted(missing)))}")
+        return chosen.select("gid", F.explode("members").alias("oid"))
+
+    def _leading(self, df: DataFrame, least: int = 10_000) -> DataFrame:
+        """Without the cells on the first axis that a large limit can't reach: their counts say how far it goes."""
+        first = "c" + self.axes[0]
+        if self.selection.limit < least or self.order[0] != first:
+            return df
+        counts = df.groupBy(first).count().orderBy(first).limit(self.selection.limit)  # each has a row at least
+        total, last = 0, None
+        for row in counts.toLocalIterator():
+            total, last = total + row["count"], row[first]
+            if total >= self.selection.limit:
+                return df.where(F.col(first) <= last)
+        return df
+
+    def truncated(self) -> bool:
+        """Whether the limit leaves out rows that are selected."""
+        limit = self.selection.limit
+        return limit is not None and self._chosen(self.vertices).limit(limit + 1).count() > limit
+
+    def in_request_order(self) -> DataFrame:
+        """Rows grouped by object in the order in which ids were asked for, in storage order within; ``asked`` is the place."""
+        if self.selection.objects is None:
+            raise SelectionError("no objects were asked for")
+        df = self.dataframe()
+        return df.join(id_frame(df.sparkSession, self.selection.objects), "oid").orderBy("asked", *(c for c in self.order if c in df.columns))
+
     def count(self) -> int:
         return self.dataframe().count()
 
+    def cost(self) -> dict[str, int]:
+        """What a read would scan at most, from file listings and statistics alone: files, and bytes by the optimizer's estimate."""
+        df = self._chosen(self.vertices)
+        return {"files": len(df.inputFiles()), "bytes": int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))}
+
     def object_ids(self) -> DataFrame:
         """Distinct ids with at least one vertex selected, sorted."""
         if "oid" not in self.vertices.columns:
@@ -153,12 +203,15 @@ class Query:
         df = self.vertices
         if self.selection.box and self.sizes:
             df = df.where(grid.box_cells(*self.selection.box, self.sizes, self.axes))
+        if self.selection.near and self.sizes:
+            centre, r = self.selection.near
+            df = df.where(grid.box_cells([c - r for c in centre], [c + r for c in centre], self.sizes, self.axes))
         if self.selection.cells is not None:
-            df = df.where(Selection(cells=self.selection.cells).predicate(None, self.axes))
+            df = Query(df, axes=self.axes, selection=Selection(cells=self.selection.cells))._chosen(df)
         return df.select(*names).distinct()
 
     def iter_cells(self):
-        """(cell, rows) in sorted order of cells, streamed to the driver one partition at a time."""
+        """(cell, rows) in sorted order of cells; all rows selected pass through the driver, one partition at a time."""
         names = ["c" + a for a in self.axes]
         current, rows = None, []
         for row in self.dataframe().orderBy(*names, *self.order).toLocalIterator(prefetchPartitions=True):
@@ -179,9 +232,12 @@ class Query:
         return self.dataframe()._jdf.queryExecution().executedPlan().toString()
 
 
-def bounds(vertices: DataFrame, axes: Sequence[str] = grid.AXES) -> DataFrame:
-    """Least and greatest position on each axis; nulls for no vertices."""
-    return vertices.agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
+def bounds(vertices: DataFrame, axes: Sequence[str] = grid.AXES, empty: str = "null") -> DataFrame:
+    """Least and greatest position on each axis; no vertices give nulls, or fail the job with ``empty="raise"``."""
+    found = vertices.agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("__n"))
+    if empty == "raise":
+        found = found.where(F.when(F.col("__n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no vertices")).cast("boolean")))
+    return found.drop("__n")
 
 
 def occupied(vertices: DataFrame, axes: Sequence[str] = grid.AXES) -> DataFrame:
@@ -222,10 +278,11 @@ def neighbours(cells: DataFrame, halo: int = 1, axes: Sequence[str] = grid.AXES,
     return around.join(there, ["n" + a for a in axes], "left_semi")
 
 
-def nearest_in_cell(targets: DataFrame, vertices: DataFrame, axes: Sequence[str] = grid.AXES, others: bool = False) -> DataFrame:
+def nearest_in_cell(targets: DataFrame, vertices: DataFrame, axes: Sequence[str] = grid.AXES, others: bool = False, tol: float | None = None) -> DataFrame:
     """For each target (``tid``, position tx, ty, tz and its cell) the nearest vertex of the same cell, least vid on ties.
 
-    With ``others`` the vertex whose vid is the tid is not a candidate.
+    With ``others`` the vertex whose vid is the tid is not a candidate; with ``tol`` a target
+    whose nearest vertex is farther fails the job.
     """
     names = ["c" + a for a in axes]
     d2 = sum(((F.col(a).cast("double") - F.col("t" + a).cast("double")) * (F.col(a).cast("double") - F.col("t" + a).cast("double")) for a in axes), F.lit(0.0))
@@ -233,7 +290,11 @@ def nearest_in_cell(targets: DataFrame, vertices: DataFrame, axes: Sequence[str]
     if others:
         pairs = pairs.where("vid <> tid")
     best = pairs.select("tid", F.struct(d2.alias("d2"), F.col("vid")).alias("m")).groupBy("tid").agg(F.min("m").alias("m"))
-    return best.select("tid", F.col("m.vid").alias("vid"), F.col("m.d2").alias("d2"))
+    found = best.select("tid", F.col("m.vid").alias("vid"), F.col("m.d2").alias("d2"))
+    if tol is None:
+        return found
+    near = F.when(F.col("d2") <= float(tol) ** 2, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no vertex near target "), F.col("tid").cast("string"))).cast("boolean"))
+    return found.where(near)
 
 
 def encode_categories(df: DataFrame, column: str, fill: int = -1) -> tuple[DataFrame, DataFrame]:
@@ -243,6 +304,11 @@ def encode_categories(df: DataFrame, column: str, fill: int = -1) -> tuple[DataF
     return df.join(table, column, "left").withColumn("code", F.coalesce("code", F.lit(fill)).cast("long")), table
 
 
+def decode_categories(df: DataFrame, table: DataFrame, column: str, code: str = "code") -> DataFrame:
+    """``column`` of each row's code; codes that the table doesn't have, such as the fill, give null."""
+    return df.drop(column).join(table.select(code, column), code, "left")
+
+
 def prefix_sums(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``name``: the sum of ``value`` over the rows before each in a global order, without one task that holds all rows.
 
@@ -268,16 +334,37 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 0)
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
-    """Interpolated quantiles of the non-null values: rows are numbered in order, two for each share come to the driver.
+    """Interpolated quantiles of the non-null values, from three aggregations and no sort of the table.
 
-    Equal values are told apart by a seeded random number, so that a frequent one fills many ranges.
+    Approximate quantiles around each rank bound a slice that holds it; how many rows lie
+    below a slice is counted, and the values in it, a few hundredths of a per cent of the
+    table, are counted by value and ranked.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), F.rand(7).alias("t"))
-    numbered = number_rows(values, ["v", "t"], "n")
-    n = numbered.count()
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = values.count()
     if not n:
         return []
     wanted = [s * (n - 1) for s in shares]
     places = sorted({i for w in wanted for i in (math.floor(w), math.ceil(w))})
-    at = {r["n"]: r["v"] for r in numbered.where(F.col("n").isin(places)).collect()}
+    margin = 2e-4
+    edges = sorted({min(1.0, max(0.0, (i + d) / n + m)) for i in places for d, m in ((0, -margin), (1, margin))})
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    near = values.agg(F.percentile_approx("v", [float(e) for e in edges], 100_000).alias("q")).first()["q"]
+    cuts = dict(zip(edges, near, strict=True))
+    slices = []
+    for i in places:
+        a, b = (min(1.0, max(0.0, (i + d) / n + m)) for d, m in ((0, -margin), (1, margin)))
+        slices.append((i, low if a <= 0 else cuts[a], high if b >= 1 else cuts[b]))
+    below = values.agg(*(F.count(F.when(F.col("v") < a, 1)).alias(f"n{k}") for k, (_, a, _) in enumerate(slices))).first()
+    inside = F.lit(False)
+    for _, a, b in slices:
+        inside = inside | F.col("v").between(a, b)
+    counted = values.where(inside).groupBy("v").count()
+    at: dict[int, float] = {}
+    for k, (i, a, b) in enumerate(slices):
+        ranked = prefix_sums(counted.where(F.col("v").between(a, b)), ["v"], F.col("count"), "before")
+        row = ranked.where((F.col("before") + below[f"n{k}"] <= i) & (F.col("before") + F.col("count") + below[f"n{k}"] > i)).first()
+        if row is None:
+            raise ValueError(f"rank {i} is not where its bounds say")
+        at[i] = row["v"]
     return [at[math.floor(w)] + (at[math.ceil(w)] - at[math.floor(w)]) * (w - math.floor(w)) for w in wanted]

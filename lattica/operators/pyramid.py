@@ -88,8 +88,8 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
 def sparsify(objects: DataFrame, sparsity: float, *, oid: str = "oid", seed: int = 0, strategy: str = "random", count: int | None = None, **context) -> DataFrame:
     """Ids kept at ``sparsity``: max(1, round(n * sparsity)) of those present, in the order of a seeded hash.
 
-    The hash order does not depend on the sparsity, so a coarser level keeps a subset of a
-    finer one's.  A lone object is never dropped.
+    The order is that of md5(seed:id), which does not depend on the sparsity, so a coarser
+    level keeps a subset of a finer one's.  A lone object is never dropped.
     """
     if not 0 < sparsity <= 1:
         raise CoarseningError("sparsity lies in (0, 1]")
@@ -103,29 +103,39 @@ def sparsify(objects: DataFrame, sparsity: float, *, oid: str = "oid", seed: int
         return _select[strategy](objects, target, oid=oid, seed=seed, **context)
     from lattica.operators.points import number_rows
 
-    hashed = objects.select(oid, F.xxhash64(F.lit(seed).cast("long"), F.col(oid).cast("long")).alias("__hash"))
+    hashed = objects.select(oid, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(oid).cast("string"))).alias("__hash"))
     return number_rows(hashed, ["__hash", oid], "__n").where(F.col("__n") < target).select(oid)
 
 
-def build_pyramid(vertices: DataFrame, bins: Sequence[float], factors: Sequence[tuple[float, float]], *, axes: Sequence[str] = grid.AXES, seed: int = 0) -> list[DataFrame]:
-    """Vertices of each coarser level, for (coarsening, sparsity) factors that compound.
+def build_pyramid(vertices: DataFrame, bins: Sequence[float], factors: Sequence[tuple[float, float]], *, axes: Sequence[str] = grid.AXES, seed: int = 0, first_level: int = 1) -> list[tuple[DataFrame, DataFrame]]:
+    """(vertices, bins) of each coarser level, for (coarsening, sparsity) factors that compound.
 
-    Levels hold ``vid`` (dense in bin order is not needed: it packs the bin), ``oid``, ``seq``
-    and the centroid; objects keep their ids on all levels.
+    Vertices have ``vid``, ``oid``, ``seq`` and the centroid; bins (bx, by, bz) have the
+    ``mvid`` that is the vid of their vertices.  Bins are numbered densely within a level, the
+    level in the bits above 44, so that ids never meet.  Objects keep their ids on all levels.
     """
-    out: list[DataFrame] = []
+    from lattica.operators.points import number_rows
+
+    out: list[tuple[DataFrame, DataFrame]] = []
     current, sizes = vertices, [float(b) for b in bins]
-    for factor, sparsity in factors:
+    for level, (factor, sparsity) in enumerate(factors, first_level):
         if factor < 1:
             raise CoarseningError("a level cannot be finer than its parent")
         sizes = [s * factor for s in sizes]
         if sparsity < 1:
             kept = sparsify(current.select("oid").distinct(), sparsity, seed=seed)
             current = current.join(kept, "oid", "left_semi")
-        coarse = coarsen(current, sizes, axes=axes)
-        path = coarse_manifest(current, sizes, axes=axes)
         names = ["b" + a for a in axes]
-        placed = path.join(coarse, names).select("oid", F.col("pos").alias("seq"), F.xxhash64(*names).alias("vid"), *axes)
-        out.append(placed)
+        coarse = number_rows(coarsen(current, sizes, axes=axes), names, "mvid", start=level << 44)
+        path = coarse_manifest(current, sizes, axes=axes)
+        placed = path.join(coarse, names).select("oid", F.col("pos").alias("seq"), F.col("mvid").alias("vid"), *axes)
+        out.append((placed, coarse.select(*names, "mvid")))
         current = placed
     return out
+
+
+def sparse_attributes(objects: DataFrame, kept: DataFrame, columns: Sequence[str], fill: dict | None = None, oid: str = "oid") -> DataFrame:
+    """Every object with ``kept`` and its attributes, which dropped ones have as null, or as a sentinel of ``fill``."""
+    marked = objects.join(kept.select(oid, F.lit(True).alias("kept")), oid, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    values = {c: F.when(F.col("kept"), F.col(c)).otherwise(F.lit((fill or {}).get(c))).cast(objects.schema[c].dataType) for c in columns}
+    return marked.withColumns(values)

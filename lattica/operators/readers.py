@@ -44,7 +44,7 @@ def skeleton_by_segment(objects: DataFrame, vertices: DataFrame, records: DataFr
 def leaves_in_box(leaves: DataFrame, lo: Sequence[float], hi: Sequence[float], sizes: Sequence[float], depth: int, origin: Sequence[int] = (0, 0, 0), axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
     """Octree leaves that meet a box, by integer comparison of their cells."""
     out = F.lit(True)
-    side = F.expr(f"shiftleft(1L, {depth} - depth)")
+    side = F.expr(f"shiftleft(1L, greatest(0, {depth} - depth))")  # a filter may be pushed to rows below full depth
     for a, l, h, s, o in zip(axes, lo, hi, sizes, origin, strict=True):
         first, last = math.floor(l / s) - o, math.floor(h / s) - o
         anchor = F.col(a) * side

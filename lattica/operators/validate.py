@@ -29,6 +29,26 @@ def misplaced(vertices: DataFrame, sizes: Sequence[float], axes: Sequence[str] =
     return violation(vertices.where(wrong), 3, "vertices in their cells", F.col("vid"))
 
 
+def misbinned(vertices: DataFrame, chunk: Sequence[float], bins: Sequence[float], axes: Sequence[str] = grid.AXES) -> DataFrame:
+    """Vertices whose bin doesn't hold their position."""
+    wrong = ~F.col("bin").eqNullSafe(grid.local_bin(axes, chunk, bins))
+    return violation(vertices.where(wrong), 3, "vertices in their bins", F.col("vid"))
+
+
+def unlisted(vertices: DataFrame, manifests: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Fragments of objects that their manifests don't name."""
+    own = vertices.where("oid is not null").select(*key).distinct()
+    return violation(own.join(manifests.select(*key), list(key), "left_anti"), 3, "manifests are whole", F.concat_ws(" ", *key))
+
+
+def dangling_parents(parents: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Cross-level links whose ends are no vertices of their levels."""
+    known = vertices.select("level", "vid").distinct()
+    low = parents.join(known, ["level", "vid"], "left_anti").select("vid")
+    high = parents.select((F.col("level") + F.col("delta")).cast("int").alias("level"), F.col("parent").alias("vid")).join(known, ["level", "vid"], "left_anti").select("vid")
+    return violation(low.unionByName(high), 3, "parents name vertices", F.col("vid"))
+
+
 def dangling_manifests(manifest: DataFrame, fragments: DataFrame, key: Sequence[str] = ("cx", "cy", "cz", "frag")) -> DataFrame:
     return violation(manifest.join(fragments.select(*key).distinct(), list(key), "left_anti"), 3, "manifests name fragments", F.col("oid"))
 
@@ -122,14 +142,20 @@ def validate(dataset: Dataset, level: int = 5) -> DataFrame:
     both = written.withColumn("__w", F.lit(True)).join(real, "level", "full")
     found.append(violation(both.where("__w is null or n_vertices is null"), 1, "levels have vertices", F.col("level")))
     settings = dataset.user("pyramid") or {}
-    scales = [1.0]
-    for factor, _ in settings.get("factors", []):
-        scales.append(scales[-1] * factor)
+    grids = {k: dataset.grid(k) for k in declared}
     if level >= 3:
         found.append(not_finite(vertices, schema.axes))
-        for k, scale in enumerate(scales):  # cells of a coarser level are larger
-            rest = F.col("level") == k if len(scales) > 1 else F.lit(True)
-            found.append(misplaced(vertices.where(rest), [c * scale for c in schema.chunk], schema.axes))
+        for k, (chunk, bins) in grids.items():
+            rows = dataset.table("vertices", level=k)
+            found.append(misplaced(rows, chunk, schema.axes))
+            if bins and "bin" in rows.columns:
+                found.append(misbinned(rows, chunk, bins, schema.axes))
+        if dataset.has("manifests"):
+            cells = ["level", *("c" + a for a in schema.axes), "frag"]
+            found.append(dangling_manifests(dataset.table("manifests"), vertices, cells))
+            found.append(unlisted(vertices, dataset.table("manifests"), [*cells, "oid"]))
+        if dataset.has("parents"):
+            found.append(dangling_parents(dataset.table("parents"), vertices))
         if has["links"]:
             found.append(dangling_links(dataset.table("links"), vertices))
         if has["levels"]:
@@ -147,8 +173,12 @@ def validate(dataset: Dataset, level: int = 5) -> DataFrame:
         if schema.chunk_by and schema.chunk_by in vertices.columns:
             found.append(mixed_bins(vertices, schema.chunk_by))
     if level >= 5:
-        # stored bins of a pyramid; without one, no level has bins to compare
-        sizes = settings.get("bins") or schema.bins or schema.chunk
-        volumes = [(k, float(math.prod(x * scale for x in sizes))) for k, scale in enumerate(scales)]
+        # bins that coarse levels were made of; without a pyramid, those of the grids
+        sizes, scale, volumes = settings.get("bins"), 1.0, []
+        factors = [1.0, *(f for f, _ in settings.get("factors", []))]
+        for k in declared:
+            scale *= factors[k] if k < len(factors) else 1.0
+            own = [x * scale for x in sizes] if sizes else grids[k][1] or grids[k][0]
+            volumes.append((k, float(math.prod(own))))
         found.append(pyramid_counts(real.join(spark.createDataFrame(volumes, "level int, bin_volume double"), "level", "left")))
     return reduce(DataFrame.unionByName, found)

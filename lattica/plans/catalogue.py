@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import grid
 from lattica.operators import edits, layout, links, objects, paths, points, pyramid, readers, validate
-from lattica.sources import store
+from lattica.sources import levels, store, writers
+from lattica.streaming import ingest
 
 from . import frames as V
 
@@ -39,11 +40,17 @@ NODES = """nodes AS (SELECT *, CAST(floor(x / 1000.0::DOUBLE) AS BIGINT) AS cx,
   edges AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, count(*) AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 MESH = """verts AS (SELECT *, CAST(floor(x / 10.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / 100.0::DOUBLE) AS BIGINT) AS cy
   FROM (SELECT p_partkey AS vid, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part)),
-  ends AS (SELECT DISTINCT l_orderkey AS face, l_partkey AS v FROM lineitem WHERE l_linenumber <= 5),
-  faces AS (SELECT face, count(*) AS n FROM ends GROUP BY face HAVING count(*) BETWEEN 3 AND 5)"""
+  ends AS (SELECT face, unnest([a, b, c]) AS v FROM (SELECT l_orderkey * 100 + row_number() OVER w AS face, l_partkey AS a, lead(l_partkey, 1) OVER w AS b, lead(l_partkey, 2) OVER w AS c
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) WHERE c IS NOT NULL),
+  faces AS (SELECT face, count(*) AS n FROM ends GROUP BY face)"""
 TREE = """tree AS (SELECT CAST(r_regionkey AS BIGINT) AS oid, CAST(r_regionkey AS BIGINT) AS child, CAST(NULL AS BIGINT) AS parent FROM region UNION ALL
   SELECT n_regionkey, n_nationkey + 100, n_regionkey FROM nation UNION ALL
-  SELECT n_regionkey, c_custkey + 1000, c_nationkey + 100 FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+  SELECT n_regionkey, c_custkey + 1000, c_nationkey + 100 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
+  SELECT n_regionkey, o_orderkey + 10000000000, c_custkey + 1000 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  walk AS (SELECT t.oid, t.child, t.parent, row_number() OVER (PARTITION BY t.oid ORDER BY
+    CASE WHEN t.child < 100 THEN -1 WHEN t.child < 1000 THEN t.child WHEN t.child < 10000000000 THEN t.parent ELSE p.parent END,
+    CASE WHEN t.child < 1000 THEN -1 WHEN t.child < 10000000000 THEN t.child ELSE t.parent END,
+    CASE WHEN t.child < 10000000000 THEN -1 ELSE t.child END) - 1 AS rank FROM tree t LEFT JOIN tree p ON t.parent = p.child)"""
 BOX_LARGE = "x BETWEEN 10 AND 30 AND y BETWEEN 2 AND 6 AND z BETWEEN 0 AND 4"
 LO, HI = (10.0, 2.0, 0.0), (30.0, 6.0, 4.0)
 
@@ -151,10 +158,10 @@ def neighbour_cells(spark, d):
     return points.neighbours(V.dense_points(spark, d))
 
 
-@query("nearest_in_chunk", f"WITH {DENSE}, t AS (SELECT * FROM dense WHERE vid % 10 = 0) SELECT t.vid AS tid, min_by(v.vid, (v.x-t.x)*(v.x-t.x)+(v.y-t.y)*(v.y-t.y)+(v.z-t.z)*(v.z-t.z)) AS vid FROM t JOIN dense v USING (cx, cy, cz) WHERE v.vid <> t.vid GROUP BY t.vid")
+@query("nearest_in_chunk", f"WITH {DENSE} SELECT t.vid AS tid, min_by(v.vid, (v.x-t.x)*(v.x-t.x)+(v.y-t.y)*(v.y-t.y)+(v.z-t.z)*(v.z-t.z)) AS vid FROM dense t JOIN dense v USING (cx, cy, cz) WHERE v.vid <> t.vid GROUP BY t.vid")
 def nearest_in_chunk(spark, d):
     dense = V.dense_points(spark, d)
-    targets = dense.where("vid % 10 = 0").select(F.col("vid").alias("tid"), "cx", "cy", "cz", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+    targets = dense.select(F.col("vid").alias("tid"), "cx", "cy", "cz", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
     return points.nearest_in_cell(targets, dense, others=True).select("tid", "vid")
 
 
@@ -373,7 +380,7 @@ def skeleton_roots(spark, d):
     return links.roots(rows.select("oid", F.col("child").alias("vid")), rows.where("parent is not null")).select("oid", "vid")
 
 
-@query("skeleton_depth_first", f"WITH {TREE}, n AS (SELECT t.oid, t.child, t.parent, p.parent AS grand FROM tree t LEFT JOIN tree p ON t.parent = p.child) SELECT oid, child AS vid, row_number() OVER (PARTITION BY oid ORDER BY CASE WHEN parent IS NULL THEN -1 WHEN grand IS NULL THEN child ELSE parent END, CASE WHEN grand IS NULL THEN -1 ELSE child END) - 1 AS rank FROM n")
+@query("skeleton_depth_first", f"WITH {TREE} SELECT oid, child AS vid, rank FROM walk")
 def skeleton_depth_first(spark, d):
     return links.depth_first(V.tree(spark, d))
 
@@ -478,7 +485,7 @@ def cross_level_parent2(spark, d):
     return pyramid.compose(up1, up2)
 
 
-@query("sparsity_keep")
+@query("sparsity_keep", "SELECT o_orderkey AS oid FROM orders ORDER BY md5('3:' || o_orderkey), o_orderkey LIMIT (SELECT CAST(greatest(1, round(count(*) * 0.25)) AS BIGINT) FROM orders)")
 def sparsity_keep(spark, d):
     return pyramid.sparsify(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("oid")), 0.25, seed=3)
 
@@ -493,7 +500,7 @@ def sparse_object_attributes(spark, d):
     rows = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("oid"), F.col("o_totalprice").alias("price"))
     pyramid.register_selection("every_fourth", lambda objs, target, oid, **_: objs.where(F.col(oid) % 4 == 0).select(oid))
     kept = pyramid.sparsify(rows, 0.25, strategy="every_fourth", count=1)
-    return rows.select("oid").join(rows.join(kept, "oid", "left_semi"), "oid", "left")
+    return pyramid.sparse_attributes(rows, kept, ["price"]).select("oid", "price")
 
 
 @query("level_counts", f"WITH {DENSE} SELECT 0 AS level, count(*) AS n FROM dense UNION ALL SELECT 1, count(*) FROM (SELECT DISTINCT floor(x / 0.1::DOUBLE), floor(y / 0.1::DOUBLE), floor(z / 0.1::DOUBLE) FROM dense) UNION ALL SELECT 2, count(*) FROM (SELECT DISTINCT floor(x / 0.2::DOUBLE), floor(y / 0.2::DOUBLE), floor(z / 0.2::DOUBLE) FROM dense)")
@@ -678,9 +685,9 @@ def validate_pyramid_counts(spark, d):
     return validate.pyramid_counts(rows).select("detail")
 
 
-@query("relabel_by_links", f"WITH {STREAM}, e AS (SELECT vid, lag(vid) OVER w AS p, cx = lag(cx) OVER w AS same FROM stream WHERE oid < 40 WINDOW w AS (PARTITION BY oid ORDER BY ts, vid)), s AS (SELECT st.oid, st.vid, CAST(sum(CASE WHEN e.p IS NOT NULL AND e.same THEN 0 ELSE 1 END) OVER (PARTITION BY st.oid ORDER BY st.ts, st.vid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM stream st JOIN e USING (vid)) SELECT vid, min(vid) OVER (PARTITION BY oid, run) AS oid FROM s")
+@query("relabel_by_links", f"WITH {STREAM}, e AS (SELECT vid, lag(vid) OVER w AS p, cx = lag(cx) OVER w AS same FROM stream WINDOW w AS (PARTITION BY oid ORDER BY ts, vid)), s AS (SELECT st.oid, st.vid, CAST(sum(CASE WHEN e.p IS NOT NULL AND e.same THEN 0 ELSE 1 END) OVER (PARTITION BY st.oid ORDER BY st.ts, st.vid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM stream st JOIN e USING (vid)) SELECT vid, min(vid) OVER (PARTITION BY oid, run) AS oid FROM s")
 def relabel_by_links(spark, d):
-    s = V.streamlines(spark, d).where("oid < 40")
+    s = V.streamlines(spark, d)
     w = W.partitionBy("oid").orderBy(*V.ORDER)
     edges = s.select(F.col("vid").alias("src"), F.lag("vid").over(w).alias("dst"), (F.lag("cx").over(w) == F.col("cx")).alias("same")).where("same").select("src", "dst")
     return edits.relabel_by_links(s, edges)
@@ -757,7 +764,7 @@ def append_objects(spark, d):
     return both.agg(F.count("*").alias("n"), F.countDistinct("oid").alias("n_objects"), F.max("oid").alias("top"))
 
 
-@query("explicit_parent_records", f"WITH {TREE}, n AS (SELECT t.oid, t.child, t.parent, p.parent AS grand FROM tree t LEFT JOIN tree p ON t.parent = p.child), r AS (SELECT oid, child, parent, lag(child) OVER (PARTITION BY oid ORDER BY CASE WHEN parent IS NULL THEN -1 WHEN grand IS NULL THEN child ELSE parent END, CASE WHEN grand IS NULL THEN -1 ELSE child END) AS before FROM n) SELECT child, parent FROM r WHERE parent IS DISTINCT FROM before")
+@query("explicit_parent_records", f"WITH {TREE}, r AS (SELECT child, parent, lag(child) OVER (PARTITION BY oid ORDER BY rank) AS before FROM walk) SELECT child, parent FROM r WHERE parent IS DISTINCT FROM before")
 def explicit_parent_records(spark, d):
     rows = V.tree(spark, d)
     ordered = readers.reorder_depth_first(rows.select("oid", F.col("child").alias("vid")), rows)
@@ -769,3 +776,213 @@ def group_catalogue(spark, d):
     members = V.table(spark, d, "customer").select(F.col("c_custkey").alias("oid"), "c_mktsegment")
     built = objects.build_groups(members, "c_mktsegment")
     return built.select("name", F.size("members").cast("long").alias("n_members"), F.col("members")[0].alias("first_member"))
+
+
+# Stored datasets: written to the shared folder, read back
+
+
+def _folder(spark) -> str:
+    """A new folder for a dataset, beside the session's checkpoints."""
+    return V.work_folder(spark)
+
+
+STREAM_LEVEL1 = f"""{STREAM}, m AS (SELECT bx, "by", avg(x) AS x, avg(y) AS y FROM (SELECT x, y, CAST(floor(x / 20.0::DOUBLE) AS BIGINT) AS bx, CAST(floor(y / 6.0::DOUBLE) AS BIGINT) AS "by" FROM stream) GROUP BY 1, 2),
+  e AS (SELECT *, lag(bx) OVER w AS px, lag("by") OVER w AS py FROM (SELECT oid, ts, vid, CAST(floor(x / 20.0::DOUBLE) AS BIGINT) AS bx, CAST(floor(y / 6.0::DOUBLE) AS BIGINT) AS "by" FROM stream) WINDOW w AS (PARTITION BY oid ORDER BY ts, vid)),
+  up AS (SELECT e.oid, row_number() OVER (PARTITION BY e.oid ORDER BY e.ts, e.vid) - 1 AS seq, m.x, m.y FROM e JOIN m ON m.bx = e.bx AND m."by" = e."by" WHERE e.px IS NULL OR e.px <> e.bx OR e.py <> e."by")"""
+
+
+def _stored_streams(spark, d, pyramid_of=((2, 1.0),), manifests: bool = False) -> store.Dataset:
+    """Events as streamlines with cells of (50, 12) and bins of (10, 3), and a pyramid over them."""
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("streamline", ("x", "y"), (50.0, 12.0), (10.0, 3.0)))
+    w = W.partitionBy("oid").orderBy(*V.ORDER)
+    rows = V.streamlines(spark, d).select("vid", "oid", (F.row_number().over(w) - 1).cast("long").alias("seq"), "x", "y")
+    ds.write_vertices(rows, manifests=manifests)
+    if pyramid_of:
+        levels.build_pyramid(ds, pyramid_of)
+    return ds
+
+
+@query("stored_box_level0", f"WITH {STREAM} SELECT vid, oid FROM stream WHERE x BETWEEN 12 AND 47 AND y BETWEEN 3 AND 11")
+def stored_box_level0(spark, d):
+    return _stored_streams(spark, d, ()).level(0).select(box=((12, 3), (47, 11))).dataframe().select("vid", "oid")
+
+
+@query("stored_box_level1", f"WITH {STREAM_LEVEL1} SELECT oid, seq, round(x, 6) AS x, round(y, 6) AS y FROM up WHERE x BETWEEN 12 AND 147 AND y BETWEEN 3 AND 19")
+def stored_box_level1(spark, d):
+    found = _stored_streams(spark, d).level(1).select(box=((12, 3), (147, 19))).dataframe()
+    return found.select("oid", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("stored_cells_level1", f"WITH {STREAM_LEVEL1} SELECT CAST(floor(x / 100.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / 24.0::DOUBLE) AS BIGINT) AS cy, count(*) AS n FROM up GROUP BY 1, 2")
+def stored_cells_level1(spark, d):
+    return _stored_streams(spark, d).table("vertices", level=1).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+
+
+EDITED = f"WITH {STREAM}, e AS (SELECT vid, oid, CASE WHEN vid = 7 THEN 77.5 ELSE x END AS x, CASE WHEN vid = 7 THEN 20.5 ELSE y END AS y FROM stream WHERE vid <> 12 AND oid <> 3), f AS (SELECT vid, oid, x, y, CAST(floor(x / 50.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / 12.0::DOUBLE) AS BIGINT) AS cy FROM e)"
+
+
+def _edited(spark, d, pyramid_of=()) -> store.Dataset:
+    ds = _stored_streams(spark, d, pyramid_of, manifests=True)
+    with edits.EditSession(ds) as session:
+        session.edit_vertex(7, position=(77.5, 20.5))
+        session.remove_vertex(12)
+        session.remove_object(3)
+    return ds
+
+
+@query("stored_edit", EDITED + " SELECT vid, oid, x, y, cx, cy, ((CAST(floor(x / 10.0::DOUBLE) AS BIGINT) % 5 + 5) % 5) * 4 + (CAST(floor(y / 3.0::DOUBLE) AS BIGINT) % 4 + 4) % 4 AS bin FROM f")
+def stored_edit(spark, d):
+    return _edited(spark, d).level(0).dataframe().select("vid", "oid", "x", "y", "cx", "cy", "bin")
+
+
+@query("stored_edit_keeps_levels", f"WITH {STREAM_LEVEL1} SELECT CAST(floor(x / 100.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / 24.0::DOUBLE) AS BIGINT) AS cy, count(*) AS n FROM up WHERE oid <> 3 GROUP BY 1, 2")
+def stored_edit_keeps_levels(spark, d):
+    return _edited(spark, d, ((2, 1.0),)).table("vertices", level=1).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+
+
+@query("stored_edit_manifests", EDITED + " SELECT oid, cx, cy FROM f GROUP BY ALL")
+def stored_edit_manifests(spark, d):
+    return _edited(spark, d).table("manifests", level=0).select("oid", "cx", "cy").distinct()
+
+
+@query("stored_validate_clean", "SELECT CAST(1 AS INTEGER) AS level, '' AS \"check\" WHERE false")
+def stored_validate_clean(spark, d):
+    return validate.validate(_edited(spark, d, ((2, 1.0),))).select("level", "check")
+
+
+@query("stored_vacuum", EDITED + ", r AS (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS new_oid FROM (SELECT DISTINCT oid FROM f)) SELECT vid, new_oid AS oid FROM f JOIN r USING (oid)")
+def stored_vacuum(spark, d):
+    ds = _edited(spark, d)
+    edits.vacuum(ds)
+    return ds.table("vertices", level=0).select("vid", "oid")
+
+
+@query("stored_rebin", f"WITH {DENSE} SELECT vid, (CAST(floor(x / 0.025::DOUBLE) AS BIGINT) % 8 + 8) % 8 AS bin FROM dense")
+def stored_rebin(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("point_cloud", ("x",), (0.2,), (0.1,)))
+    ds.write_vertices(V.dense_points(spark, d).select("vid", "oid", "x"))
+    levels.rebin(ds, (0.025,))
+    return ds.level(0).dataframe().select("vid", "bin")
+
+
+@query("stored_mesh", f"WITH {MESH}, k AS (SELECT *, row_number() OVER (ORDER BY vid) - 1 AS \"row\" FROM verts WHERE x BETWEEN 5 AND 45 AND y BETWEEN 900 AND 2100), c AS (SELECT l_orderkey * 100 + row_number() OVER w AS face, l_partkey AS a, lead(l_partkey, 1) OVER w AS b, lead(l_partkey, 2) OVER w AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) SELECT face, ka.row AS r0, kb.row AS r1, kc.row AS r2 FROM c JOIN k ka ON ka.vid = a JOIN k kb ON kb.vid = b JOIN k kc ON kc.vid = c")
+def stored_mesh(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("mesh", ("x", "y"), (10.0, 100.0)))
+    vertices = V.mesh_vertices(spark, d).select("vid", (F.col("vid") % 16).alias("oid"), "x", "y")
+    writers.write_mesh(ds, vertices, V.mesh_faces(spark, d))
+    _, faces = writers.read_mesh(ds, box=((5, 900), (45, 2100)))
+    return faces.select("face", *(F.col("rows")[k].alias(f"r{k}") for k in range(3)))
+
+
+@query("stored_graph", f"WITH {NODES}, n AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS \"row\" FROM nodes WHERE x BETWEEN 0 AND 5000 AND y BETWEEN 0 AND 12) SELECT a.row AS src_row, b.row AS dst_row, n_items FROM edges JOIN n a ON src = a.vid JOIN n b ON dst = b.vid")
+def stored_graph(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("graph", ("x", "y"), (1000.0, 5.0)))
+    writers.write_graph(ds, V.graph_nodes(spark, d).select("vid", "x", "y"), V.graph_edges(spark, d))
+    return writers.read_graph(ds, box=((0, 0), (5000, 12)))[1]
+
+
+@query("stored_skeleton", f"WITH {TREE} SELECT child, parent FROM tree WHERE parent IS NOT NULL")
+def stored_skeleton(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("skeleton", ("x",), (100.0,)))
+    rows = V.tree(spark, d)
+    writers.write_skeleton(ds, rows.select(F.col("child").alias("vid"), "oid", (F.col("child") % 997).cast("double").alias("x")), rows.select("child", "parent"))
+    return writers.read_skeleton(ds)[1]
+
+
+@query("stored_polylines", f"WITH {SPLIT} SELECT oid, segment AS seq, min(cx) AS cx, min(cy) AS cy, count(*) AS n_vertices FROM split GROUP BY oid, segment")
+def stored_polylines(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("polyline", ("x", "y"), V.CELL_STREAM))
+    w = W.partitionBy("oid").orderBy(*V.ORDER)
+    writers.write_polylines(ds, V.streamlines(spark, d).select("vid", "oid", F.row_number().over(w).alias("seq"), "x", "y"))
+    return ds.table("manifests", level=0).select("oid", "seq", "cx", "cy", "n_vertices")
+
+
+@query("stored_lines", f"WITH {LINES} SELECT oid, ax, ay, bx, \"by\" FROM lines WHERE (ax BETWEEN 0 AND 1000 AND ay BETWEEN 3 AND 9) OR (bx BETWEEN 0 AND 1000 AND \"by\" BETWEEN 3 AND 9)")
+def stored_lines(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("line", ("x", "y"), (50000.0, 5.0)))
+    writers.write_lines(ds, V.lines(spark, d))
+    return writers.read_lines(ds, box=((0, 3), (1000, 9)))
+
+
+@query("stored_parametric", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS r FROM supplier WHERE s_nationkey = 3")
+def stored_parametric(spark, d):
+    ds = store.Dataset.create(spark, _folder(spark), store.Schema("parametric"))
+    rows = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("sphere").alias("type"), F.array(F.col("s_nationkey").cast("double"), F.lit(0.0), F.lit(0.0), F.col("s_acctbal")).alias("coefficients"))
+    groups = V.table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("gid")).agg(F.collect_list("s_suppkey").alias("members"))
+    writers.write_parametric(ds, rows, groups=groups)
+    return writers.read_parametric(ds, type="sphere", groups=[3]).select("id", "name", F.col("coefficients")[3].alias("r"))
+
+
+@query("stored_composite", f"WITH {NODES} SELECT 'graph' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'mesh', count(*) FROM part")
+def stored_composite(spark, d):
+    both = writers.Composite(store.Dataset.create(spark, _folder(spark), store.Schema("point_cloud", ("x", "y"), (1.0, 1.0))))
+    both.add("graph", {"vertices": V.graph_nodes(spark, d).select("vid", "x", "y"), "links": V.graph_edges(spark, d)})
+    both.add("mesh", {"vertices": V.mesh_vertices(spark, d).select("vid", "x", "y"), "faces": V.mesh_faces(spark, d)})
+    return both.vertices().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("stored_batches", f"WITH {STREAM} SELECT cx, cy, count(*) AS n_rows, count(DISTINCT vid % 3) AS n_batches FROM stream GROUP BY cx, cy")
+def stored_batches(spark, d):
+    appender = ingest.Appender(spark, _folder(spark), V.CELL_STREAM, "xy")
+    rows = V.streamlines(spark, d).select("vid", "oid", "x", "y")
+    for k in range(3):
+        appender.write(rows.where(F.col("vid") % 3 == k), k)
+        appender.write(rows.where(F.col("vid") % 3 == k), k)  # a replay
+    return appender.reconcile()
+
+
+@query("stored_link_batches", f"WITH {NODES} SELECT a.cx AS scx, a.cy AS scy, b.cx - a.cx AS ox, b.cy - a.cy AS oy, count(*) AS n_links FROM edges JOIN nodes a ON src = a.vid JOIN nodes b ON dst = b.vid GROUP BY ALL")
+def stored_link_batches(spark, d):
+    appender = ingest.LinkAppender(spark, _folder(spark), V.graph_nodes(spark, d), "xy")
+    edges = V.graph_edges(spark, d)
+    for k in range(2):
+        appender.write(edges.where(F.col("src") % 4 == 2 * k), k)
+    return appender.counts()
+
+
+@query("stored_manifest_batches", MANIFEST + " SELECT oid, count(*) AS n_fragments FROM man GROUP BY oid")
+def stored_manifest_batches(spark, d):
+    folder = _folder(spark)
+    rows = objects.object_manifest(objects.fragment_rank(V.dense_points(spark, d)))
+    first = ingest.ManifestAppender(spark, folder)
+    first.write(rows.where("oid < 6"), 0)
+    again = ingest.ManifestAppender(spark, folder, base_oid=4)  # a run that resumes at 4
+    again.write(rows.where("oid >= 4"), 1)
+    return again.lengths()
+
+
+@query("octree_box_points", f"WITH {LARGE} SELECT oid, seq, part FROM large WHERE {BOX_LARGE}")
+def octree_box_points(spark, d):
+    rows = V.large_points(spark, d)
+    cells = rows.groupBy(*(F.col("c" + a).alias(i) for a, i in zip("xyz", "ijk", strict=True))).agg(F.count("*").alias("weight"))
+    level = writers.OctreeLevel(rows, layout.leaves(cells, 3, 1500), 3, V.CELL_LARGE)
+    return level.read_points(box=(LO, HI)).select("oid", "seq", "part")
+
+
+@query("octree_seams", f"WITH {NODES}, p AS (SELECT vid, least(7, greatest(0, cx)) AS i, least(7, cy) AS j FROM nodes) SELECT a.i AS ai, a.j AS aj, count(*) AS n FROM edges JOIN p a ON src = a.vid JOIN p b ON dst = b.vid WHERE (a.i, a.j) <> (b.i, b.j) GROUP BY 1, 2")
+def octree_seams(spark, d):
+    nodes = V.graph_nodes(spark, d).select("vid", *(F.least(F.lit(7), F.greatest(F.lit(0), F.col(c))).cast("long").alias(n) for c, n in (("cx", "i"), ("cy", "j"))), F.lit(0).cast("long").alias("k"))
+    cells = nodes.groupBy("i", "j", "k").agg(F.count("*").alias("weight"))
+    placed = layout.in_leaf(nodes, layout.leaves(cells, 3, 0), 3)
+    cut = readers.seams(V.graph_edges(spark, d), placed)
+    return cut.join(placed.select(F.col("vid").alias("src"), "i", "j"), "src").groupBy(F.col("i").alias("ai"), F.col("j").alias("aj")).agg(F.count("*").alias("n"))
+
+
+@query("decoded_categories", "SELECT l_orderkey AS oid, l_linenumber AS line, l_returnflag AS flag FROM lineitem")
+def decoded_categories(spark, d):
+    rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("oid"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    coded, values = points.encode_categories(rows, "flag")
+    return points.decode_categories(coded.drop("flag"), values, "flag").select("oid", "line", "flag")
+
+
+@query("objects_in_request_order", f"WITH {LARGE} SELECT a.asked, oid, seq, part FROM large JOIN (VALUES (0, 7), (1, 3), (2, 100)) a(asked, oid) USING (oid)")
+def objects_in_request_order(spark, d):
+    found = _large(spark, d).select(objects=(7, 3, 7, 100, 99999999)).in_request_order()
+    return found.select(F.dense_rank().over(W.orderBy("asked")).cast("int").alias("asked"), "oid", "seq", "part").withColumn("asked", F.col("asked") - 1)
+
+
+@query("cells_of_many_tables", f"WITH {DENSE}, r(pos, cx, cy, cz) AS (VALUES (0, 0, 0, 0), (1, 99, 0, 0), (2, -1, 0, 0)), n AS (SELECT pos, count(vid) AS n_rows FROM r LEFT JOIN dense USING (cx, cy, cz) GROUP BY pos) SELECT pos, n_rows, CAST(coalesce(sum(n_rows) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n")
+def cells_of_many_tables(spark, d):
+    keys = spark.createDataFrame([(0, 0, 0, 0), (1, 99, 0, 0), (2, -1, 0, 0)], "pos int, cx long, cy long, cz long")
+    found, _ = writers.read_cells_of({"vertices": V.dense_points(spark, d), "names": V.table(spark, d, "region")}, keys, on_error="record")
+    return found["vertices"][1].select("pos", "n_rows", "offset")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions import grid
@@ -14,6 +17,13 @@ CELL_DENSE = (0.05, 0.05, 0.05)
 CELL_STREAM = (5.0, 6.0)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir for a dataset that a query writes and reads back."""
+    from lattica.sources.store import shared_folder
+
+    return f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,20 +99,27 @@ def mesh_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of each order's first lines as a face of three to five ends."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5")
-    ends = items.groupBy(F.col("l_orderkey").alias("face")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ends"))
-    return ends.where(F.size("ends").between(3, 5))
+    """The parts of each three consecutive lines of an order as a triangle; a part may be named twice."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    ends = F.array("l_partkey", F.lead("l_partkey", 1).over(w), F.lead("l_partkey", 2).over(w))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.row_number().over(w)).alias("face"), ends.alias("ends"))
+    return rows.where(F.col("ends")[2].isNotNull())
+
+
+#: Order nodes of the tree begin here.
+ORDER_NODES = 10_000_000_000
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations and their customers as trees of regions: oid, child, parent; ids do not overlap."""
+    """Trees of regions, nations, customers and orders: oid, child, parent; ids do not overlap."""
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("oid"), F.col("r_regionkey").cast("long").alias("child"), F.lit(None).cast("long").alias("parent"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("oid"), (F.col("n_nationkey") + 100).cast("long").alias("child"), F.col("n_regionkey").cast("long").alias("parent"))
     of = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("oid"))
-    customers = table(spark, sf_dir, "customer").join(F.broadcast(of), F.col("c_nationkey") == of["n_nationkey"])
-    leaves = customers.select("oid", (F.col("c_custkey") + 1000).alias("child"), (F.col("c_nationkey") + 100).cast("long").alias("parent"))
-    return regions.unionByName(nations).unionByName(leaves)
+    customers = table(spark, sf_dir, "customer").join(of, F.col("c_nationkey") == of["n_nationkey"])
+    buyers = customers.select("oid", (F.col("c_custkey") + 1000).alias("child"), (F.col("c_nationkey") + 100).cast("long").alias("parent"))
+    orders = table(spark, sf_dir, "orders").join(customers.select("oid", "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = orders.select("oid", (F.col("o_orderkey") + ORDER_NODES).alias("child"), (F.col("c_custkey") + 1000).alias("parent"))
+    return regions.unionByName(nations).unionByName(buyers).unionByName(bought)
 
 
 def brand_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def test_fragment_tiles(spark):
 
 
 def test_pyramid_invariants(spark, cloud):
-    levels = pyramid.build_pyramid(cloud, (25.0,) * 3, [(2, 1.0), (2, 0.5)])
+    levels = [rows for rows, _ in pyramid.build_pyramid(cloud, (25.0,) * 3, [(2, 1.0), (2, 0.5)])]
     sizes = [cloud.count(), *(x.count() for x in levels)]
     assert sizes == sorted(sizes, reverse=True)
     ids = [{r["oid"] for r in x.select("oid").distinct().collect()} for x in (cloud, *levels)]
@@ -175,8 +175,8 @@ def test_octree_leaves_partition_the_cells(spark):
     assert all(r["weight"] <= 40 or r["depth"] == 4 for r in found)
     placed = layout.in_leaf(df, layout.leaves(df, 4, 40), 4)
     assert placed.count() == len(cells)
-    table = [(r["depth"], r["i"], r["j"], r["k"]) for r in found]
-    even = layout.balance(table, {c[:3] for c in cells}, 4)
+    even = [(r["depth"], r["i"], r["j"], r["k"]) for r in layout.balance(layout.leaves(df, 4, 40), df, 4).collect()]
+    assert layout.in_leaf(df, layout.balance(layout.leaves(df, 4, 40), df, 4), 4).count() == len(cells) and len(even) >= len(found)
     for d, *ijk in even:
         for e, *other in even:
             if e < d - 1:
