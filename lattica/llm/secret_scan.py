@@ -9,14 +9,20 @@ base span touches.
 Its alphabet is inferred from the classes of characters that occur: hexadecimal; base 32 in
 either case, if letters of one case and digits 2-7 alone occur; otherwise the union of those
 of A-Z, a-z, 0-9 and the two signs that occur, so letters of one case, base 36, base 52, base
-62 and base 64 among others.  Characters become numbers of that alphabet, and four tests ask
-whether the run could be uniformly random: chi-squared over four bins of the alphabet,
-Wald-Wolfowitz runs about the middle, lag-1 serial correlation, and a score of neighbouring
-letters that words have more of than uniform letters, without regard to case and not for
-hexadecimal runs.  A run's p-value is the least of the four times four.  Within a
-document the p-values, divided by weights in proportion to length, go through the
-Benjamini-Hochberg step-up rule; runs it rejects are not random, the others are secrets of
-kind ``random``.  Long runs, whose tests have more power, get more of the error rate.
+62 and base 64 among others.  Characters become numbers of that alphabet, and a battery asks
+whether the run could be uniformly random: chi-squared over the alphabet, neighbouring
+symbols pooled so that five characters fall to a cell, Wald-Wolfowitz runs about the middle,
+lag-1 serial correlation, and a score of neighbouring letters that words have more of than
+uniform letters, without regard to case and not for hexadecimal runs.  A run whose p-value,
+the least of the four times four, is at most ``rate`` is not random.
+
+A run is a discovery if it could not be ordinary text either.  In words, joined in any way,
+pairs of letters score as in TEXT_PAIR and digits meet letters as in a Poisson law of mean
+TEXT_FLIPS; the p-value of a run as text is the lesser of both tests times two.  Within a
+document these p-values, divided by weights in proportion to length, go through the
+Benjamini-Hochberg step-up rule at ``rate``, which bounds the share of text among the
+discoveries; long runs, whose tests have more power, get more of the rate.  Discoveries
+that the battery lets pass are secrets of kind ``random``.
 
 No Python runs on executors; nothing is shuffled.
 
@@ -27,6 +33,8 @@ scanned whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +49,9 @@ BASE = (
 KIND = "random"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 RATE = 0.01
+#: Mean and deviation of a letter pair's score in words of several languages, joins of words included, and the mean of digit-letter borders.
+TEXT_PAIR = (5.7, 2.9)
+TEXT_FLIPS = 1.0
 _UPPER, _LOWER, _DIGITS, _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/"
 #: Runs of one kind of encoding, tried in order; other runs have the classes that occur.
 _ENCODINGS = (("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"), ("^(?=.*[2-7])[A-Z2-7]+$", _UPPER + "234567"), ("^(?=.*[2-7])[a-z2-7]+$", _LOWER + "234567"))
@@ -64,13 +75,16 @@ def _spans(found: str, gaps: str, sizes: str, kind: str, order: int, least: int)
     start = f"a.at + length(x.{gaps})"
     end = f"{start} + length(x.{found})"
     span = f"named_struct('s', {start}, 'o', {order}, 'e', {end}, 'kind', '{kind}')"
+    # in runs of 256 matches, whose results are joined at the end: work stays in proportion to the matches
     return F.expr(f"""
         if(size({found}) = 0, cast(array() as array<{_SPAN}>),
-          aggregate(arrays_zip({gaps}, {found}, {sizes}),
-            named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-            (a, x) -> if(x.{found} is null, a,
-              named_struct('at', {end}, 'out', if(length(x.{sizes}) >= {least}, concat(a.out, array({span})), a.out))),
-            a -> a.out))""")
+          flatten(aggregate(transform(sequence(0, (size({found}) - 1) div 256), c -> slice(arrays_zip({gaps}, {found}, {sizes}), 256 * c + 1, 256)),
+            named_struct('at', 0, 'out', cast(array() as array<array<{_SPAN}>>)),
+            (b, some) -> transform(array(aggregate(some, named_struct('at', b.at, 'out', cast(array() as array<{_SPAN}>)),
+              (a, x) -> if(x.{found} is null, a,
+                named_struct('at', {end}, 'out', if(length(x.{sizes}) >= {least}, concat(a.out, array({span})), a.out))))),
+              r -> named_struct('at', r.at, 'out', concat(b.out, array(r.out))))[0],
+            b -> b.out)))""")
 
 
 def _upper_tail(z: str) -> str:
@@ -90,8 +104,17 @@ def _pair_moments() -> tuple[float, float, float]:
     return mean, sum((x - mean) ** 2 for r in rows for x in r) / 676, shared
 
 
+def _flip_tail(d: str) -> str:
+    """P(X >= d) for a Poisson law of mean TEXT_FLIPS; from 20 on as at 20."""
+    tails, rest = [], 1.0
+    for k in range(21):
+        tails.append(max(rest, 1e-18))
+        rest -= math.exp(-TEXT_FLIPS) * TEXT_FLIPS**k / math.factorial(k)
+    return f"element_at(array({', '.join(f'{t!r}D' for t in tails)}), cast(least({d}, 20) as int) + 1)"
+
+
 def randomness(token: str) -> str:
-    """SQL for the p-value of the battery, of a column or lambda variable with 20 characters or more."""
+    """SQL for a struct of ``random`` and ``text``, the p-values of the battery and as ordinary text, of a column or lambda variable with 20 characters or more."""
     mean, spread, shared = _pair_moments()
     cases = "".join(f"when {token} rlike '{p}' then '{a}' " for p, a in _ENCODINGS)
     classes = ", ".join(f"if({token} rlike '{p}', '{a}', '')" for p, a in _CLASSES)
@@ -104,26 +127,31 @@ def randomness(token: str) -> str:
     letters = f"""transform(array({numbers}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
         'l', transform(sequence(1, y.n), i -> locate(lower(substr({token}, i, 1)), '{_LOWER}') - 1)))[0]"""
     pairs = f"""transform(array({letters}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
+        'cells', cast(greatest(4, least(y.k, y.n div 5)) as int),
+        'flips', size(filter(sequence(1, y.n - 1), i -> substr({token}, i, 2) rlike '[0-9][A-Za-z]|[A-Za-z][0-9]')),
         'pairs', if(y.k = 16, 0D, aggregate(sequence(1, y.n - 1), 0D, (s, i) -> s + if(y.l[i - 1] >= 0 and y.l[i] >= 0, 1D, 0D))),
         'triples', aggregate(sequence(2, y.n - 1), 0D, (s, i) -> s + if(y.l[i - 2] >= 0 and y.l[i - 1] >= 0 and y.l[i] >= 0, 1D, 0D)),
         'score', aggregate(sequence(1, y.n - 1), 0D, (s, i) -> s + if(y.l[i - 1] >= 0 and y.l[i] >= 0, ascii(substr('{_PAIRS}', 26 * y.l[i - 1] + y.l[i] + 1, 1)) - 48 - {mean}D, 0D))))[0]"""
+    pairs = f"""transform(array({pairs}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v, 'cells', y.cells, 'flips', y.flips, 'pairs', y.pairs, 'triples', y.triples, 'score', y.score,
+        'z5', ({TEXT_PAIR[0] - mean}D * y.pairs - y.score) / ({TEXT_PAIR[1]}D * sqrt(greatest(1D, y.pairs)))))[0]"""
     counts = f"""transform(array({pairs}), y -> named_struct('k', y.k, 'n', y.n, 'v', y.v,
+        'text', least(1D, 2 * least({_flip_tail('y.flips')}, if(y.pairs = 0, 1D, {_upper_tail('y.z5')}))),
         'z4', if(y.pairs = 0, -9D, y.score / sqrt(y.pairs * {spread}D + 2 * y.triples * {shared}D)),
         'mean', aggregate(y.v, 0D, (s, x) -> s + x) / y.n,
         'above', aggregate(y.v, 0D, (s, x) -> s + if(2 * x >= y.k, 1D, 0D)),
         'runs', aggregate(sequence(2, y.n), 1D, (s, i) -> s + if((2 * y.v[i - 1] >= y.k) <> (2 * y.v[i - 2] >= y.k), 1D, 0D)),
-        'chi', aggregate(sequence(0, 3), 0D, (s, b) -> s + pow(
-            size(filter(y.v, x -> x * 4 div y.k = b)) - y.n * size(filter(sequence(0, y.k - 1), x -> x * 4 div y.k = b)) / y.k, 2)
-            / (y.n * size(filter(sequence(0, y.k - 1), x -> x * 4 div y.k = b)) / y.k))))[0]"""
-    moments = f"""transform(array({counts}), y -> named_struct('n', y.n, 'runs', y.runs, 'chi', y.chi, 'z4', y.z4,
+        'df', y.cells - 1D,
+        'chi', aggregate(sequence(0, y.cells - 1), 0D, (s, b) -> s + transform(array(y.n * (((b + 1) * y.k + y.cells - 1) div y.cells - (b * y.k + y.cells - 1) div y.cells) / y.k), e ->
+            pow(size(filter(y.v, x -> x * y.cells div y.k = b)) - e, 2) / e)[0])))[0]"""
+    moments = f"""transform(array({counts}), y -> named_struct('n', y.n, 'runs', y.runs, 'chi', y.chi, 'df', y.df, 'z4', y.z4, 'text', y.text,
         'expected', 2 * y.above * (y.n - y.above) / y.n + 1,
         'var', aggregate(y.v, 0D, (s, x) -> s + pow(x - y.mean, 2)),
         'cov', aggregate(sequence(2, y.n), 0D, (s, i) -> s + (y.v[i - 1] - y.mean) * (y.v[i - 2] - y.mean))))[0]"""
-    scores = f"""transform(array({moments}), y -> named_struct('z4', y.z4,
-        'z1', (pow(y.chi / 3, 1 / 3D) - (1 - 2 / 27D)) / sqrt(2 / 27D),
+    scores = f"""transform(array({moments}), y -> named_struct('z4', y.z4, 'text', y.text,
+        'z1', (pow(y.chi / y.df, 1 / 3D) - (1 - 2 / (9 * y.df))) / sqrt(2 / (9 * y.df)),
         'z2', if(y.expected <= 2, 99D, abs(y.runs - y.expected) / sqrt((y.expected - 1) * (y.expected - 2) / (y.n - 1))),
         'z3', if(y.var = 0, 99D, abs(y.cov / y.var) * sqrt(y.n))))[0]"""
-    return f"transform(array({scores}), y -> least(1D, 4 * least({_upper_tail('y.z1')}, 2 * {_upper_tail('y.z2')}, 2 * {_upper_tail('y.z3')}, {_upper_tail('y.z4')})))[0]"
+    return f"transform(array({scores}), y -> named_struct('text', y.text, 'random', least(1D, 4 * least({_upper_tail('y.z1')}, 2 * {_upper_tail('y.z2')}, 2 * {_upper_tail('y.z3')}, {_upper_tail('y.z4')}))))[0]"
 
 
 def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,9 +180,9 @@ def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
           y -> y.t rlike '[A-Za-z]' and not exists(__base, b -> b.s < y.span.e and y.span.s < b.e)))""")
     runs = spans.withColumn("__base", base).withColumn("__runs", open_runs)
     scored = runs.withColumn("__p", F.expr(f"transform(__runs, r -> named_struct('span', r.span, 'p', {randomness('r.t')}, 'n', cast(length(r.t) as double)))"))
-    weighted = scored.withColumn("__q", F.expr("transform(__p, x -> x.p * aggregate(__p, 0D, (s, y) -> s + y.n) / size(__p) / x.n)"))
+    weighted = scored.withColumn("__q", F.expr("transform(array(aggregate(__p, 0D, (s, y) -> s + y.n) / greatest(1, size(__p))), m -> transform(__p, x -> x.p.text * m / x.n))[0]"))
     limit = F.expr(f"aggregate(transform(array_sort(__q), (q, i) -> if(q <= {rate}D * (i + 1) / size(__q), q, -1D)), -1D, (s, x) -> greatest(s, x))")
-    kept = F.expr("transform(filter(transform(__p, (x, i) -> named_struct('span', x.span, 'q', __q[i])), y -> y.q > __limit), y -> y.span)")
+    kept = F.expr(f"transform(filter(transform(__p, (x, i) -> named_struct('span', x.span, 'q', __q[i], 'p', x.p.random)), y -> y.q <= __limit and y.p > {rate}D), y -> y.span)")
     out = weighted.withColumn("__limit", limit).withColumn("__added", kept)
     return out.select(
         F.col("__id").alias(id_col),

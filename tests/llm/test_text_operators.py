@@ -1,6 +1,7 @@
 """Operators on single texts against the libraries or brute force, with the defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -202,6 +203,96 @@ def test_random_tokens_of_every_alphabet_are_secrets(spark):
     assert not any(hit[r["doc_id"]] and r["doc_id"] < len(planted) and r["text"] != "x [secret] y" for r in secret_scan.redact(df).collect())
 
 
+def brute_random_spans(t, rate=0.01):
+    """The method in plain Python: runs clear of base spans, battery, text p-values and the weighted step-up rule."""
+    pairs = [[int(c) for c in secret_scan._PAIRS[26 * i : 26 * i + 26]] for i in range(26)]
+    flat = np.array(pairs, float)
+    mean, spread = flat.mean(), flat.var()
+    shared = (flat.sum(0) * flat.sum(1)).sum() / 26**3 - mean**2
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t).split(",") if x]
+    runs = []
+    for m in re.finditer(secret_scan.TOKEN, t):
+        token = m[0]
+        if not re.search("[A-Za-z]", token) or any(s < m.end() and m.start() < e for s, e in base):
+            continue
+        lower = string.ascii_lowercase
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+            alphabet, token = string.digits + "abcdef", token.lower()
+        elif re.fullmatch("(?=.*[2-7])[A-Z2-7]+", token):
+            alphabet = string.ascii_uppercase + "234567"
+        elif re.fullmatch("(?=.*[2-7])[a-z2-7]+", token):
+            alphabet = lower + "234567"
+        else:
+            alphabet = "".join(a for p, a in (("[A-Z]", string.ascii_uppercase), ("[a-z]", lower), ("[0-9]", string.digits), ("[+/_-]", "+/")) if re.search(p, token))
+        k, n = len(alphabet), len(token)
+        v = np.array([alphabet.index(c.replace("-", "+").replace("_", "/")) for c in token], float)
+        cells = max(4, min(k, n // 5))
+        size = np.bincount(np.arange(k) * cells // k, minlength=cells)
+        got = np.bincount((v * cells // k).astype(int), minlength=cells)
+        chi, df = (((got - n * size / k) ** 2) / (n * size / k)).sum(), cells - 1
+        z1 = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+        high = 2 * v >= k
+        above, changes = high.sum(), 1 + (high[1:] != high[:-1]).sum()
+        expected = 2 * above * (n - above) / n + 1
+        z2 = 99 if expected <= 2 else abs(changes - expected) / math.sqrt((expected - 1) * (expected - 2) / (n - 1))
+        d = v - v.mean()
+        z3 = 99 if not (d * d).sum() else abs((d[1:] * d[:-1]).sum() / (d * d).sum()) * math.sqrt(n)
+        letter = [lower.find(c.lower()) for c in m[0]]
+        near = [(a, b) for a, b in zip(letter, letter[1:]) if a >= 0 and b >= 0] if k != 16 else []
+        triples = sum(min(x) >= 0 for x in zip(letter, letter[1:], letter[2:]))
+        score = sum(pairs[a][b] for a, b in near)
+        z4 = (score - mean * len(near)) / math.sqrt(len(near) * spread + 2 * triples * shared) if near else -9
+        z5 = (secret_scan.TEXT_PAIR[0] * len(near) - score) / (secret_scan.TEXT_PAIR[1] * math.sqrt(max(1, len(near))))
+        flips = sum(bool(re.fullmatch("[0-9][A-Za-z]|[A-Za-z][0-9]", m[0][i : i + 2])) for i in range(n - 1))
+        lam = secret_scan.TEXT_FLIPS
+        p_flips = 1 - sum(math.exp(-lam) * lam**i / math.factorial(i) for i in range(flips))
+        text = min(1, 2 * min(p_flips, tail(z5) if near else 1))
+        battery = min(1, 4 * min(tail(z1), 2 * tail(z2), 2 * tail(z3), tail(z4)))
+        runs.append((m.start(), m.end(), text, battery, n))
+    q = [text * np.mean([r[4] for r in runs]) / n for *_, text, _, n in runs]
+    limit = max([x for i, x in enumerate(sorted(q)) if x <= rate * (i + 1) / len(q)], default=-1)
+    return {(s, e) for (s, e, _, battery, _), x in zip(runs, q, strict=True) if x <= limit and battery > rate}
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    classes = [string.ascii_letters + string.digits, string.ascii_lowercase, string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", "ab-c_d"]
+    words = ["river", "mountain", "theory", "quantity", "value", "stream", "Anwendung", "ciudad"]
+    token = lambda: "".join(rng.choice(rng.choice(classes[:5]) if rng.random() < 0.05 else c) for c in [rng.choice(classes)] for _ in range(rng.randrange(16, 70)))
+    joined = lambda: rng.choice("-_/ ").join(rng.choice(words) for _ in range(rng.randrange(2, 7)))
+    texts = [" ".join(token() if rng.random() < 0.5 else joined() for _ in range(rng.randrange(6))) + rng.choice(["", " password=abcdefgh12345678901234567890", " é😀"]) for _ in range(150)]
+    texts += [" ".join(token() for _ in range(700))]  # more matches than one run of the fold
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.find_secrets(df).select("doc_id", "spans").collect():
+        got = {(x["s"], x["e"]) for x in r["spans"] if x["kind"] == secret_scan.KIND}
+        assert got == brute_random_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
+def test_identifiers_paths_and_slugs_are_no_secrets(spark):
+    """At most one in a hundred ordinary runs is called a secret, at least nine in ten random ones of 20 characters or more."""
+    rng = random.Random(12)
+    words = "account balance update order item total price session manager handler request response stream buffer parser file network device driver system kernel memory table index query string number value result error message event service client thread worker image texture view controller window layout weather river mountain journal article history science nature garden kitchen recipe summer winter market bridge village school teacher student library museum theatre concert painting camera battery engine wheel bicycle station airport passenger ticket holiday travel guide".split()
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    kinds = {
+        "camel": lambda: "".join(w.capitalize() for w in some(6)),
+        "path": lambda: "/".join(["", *some(5)]),
+        "slug": lambda: "-".join(some(5)),
+        "dated": lambda: f"{rng.randrange(2000, 2027)}/{rng.randrange(1, 13):02}/" + "-".join(some(3)),
+        "snake": lambda: "_".join(some(4)).upper(),
+    }
+    plain = [(k, f()) for k, f in kinds.items() for _ in range(200)]
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    random_of = {"base62": low + up + digits, "base64": low + up + digits + "+/", "base36": low + digits, "base32": up + "234567", "hex": digits + "abcdef", "letters": low + up, "lower": low}
+    secret = [(f"random {k}", "".join(rng.choice(a) for _ in range(n))) for k, a in random_of.items() for n in (20, 31) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(plain + secret)], "doc_id long, text string")
+    hit = {r["doc_id"]: r["n"] for r in secret_scan.find_secrets(df).selectExpr("doc_id", "size(spans) > 0 as n").collect()}
+    by_kind = {}
+    for i, (k, _) in enumerate(plain + secret):
+        by_kind.setdefault(k, []).append(hit[i])
+    assert all(np.mean(v) >= 0.9 if k.startswith("random") else np.mean(v) <= 0.01 for k, v in by_kind.items()), {k: np.mean(v) for k, v in by_kind.items()}
+
+
 def test_redaction_takes_effect(spark):
     rows = [(1, "a password=abcdefgh12 b", "en", 23), (2, None, None, None), (3, "é clean", "fr", 7), (4, "token = \"" + "0af3" * 10 + "\" end", "en", 55)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
