@@ -7,13 +7,21 @@ one-deletion neighbourhood of each part, where a part that differs in one elemen
 meets.  How many sets share a signature is counted over the whole corpus, and each set
 then allocates its own H + 1 among its cheapest signatures: a part costs what its rarest
 level costs, and with H + 1 signatures that nobody shares a set provably links with none.
-Only signatures allocated by some set connect their sets to candidate clusters.  Clusters
-are cut into blocks and all pairs of a block pair are verified exactly, which returns a
-spanning forest of the links, never the links of a clique one by one.
-
-Equal sets are one class: they are found by the sum of their hashes before anything is
-joined, and sent once from each task.  Shingles are compared by 64-bit hashes of their
-words.  Signatures travel as packed binary rows, one for each task and target.
+Should a set have too few non-empty parts in every partition, its band is indexed again
+with twice the parts, until none has.
+
+Only sets that share an allocated signature are compared, exactly, and only while they are
+not connected yet.  First each set is compared with the hub of its lists, the least set of
+a list, which settles groups of near copies with one comparison a set; then with its other
+hubs; then the lists that still hold sets of several components are taken again, without
+those that repeat another's members, cut into blocks, and compared pair by pair of blocks.
+What is returned is a spanning set of the links, never the links of a clique one by one.
+
+Equal sets are one class: they are found by 128 bits of hash before anything is joined,
+and sent once from each task.  Shingles are compared by 64-bit hashes of their words.
+Signatures travel as packed binary rows, one for each task and target; a target of more
+than ``part_mb`` of input is worked off in pieces, and a signature too frequent for memory
+counts as frequent without its sets being held.
 
 Defined results: null or empty texts, and texts of white space alone, have an empty set and
 link with nothing; a text of fewer words than the width is one shingle; rows that
@@ -25,14 +33,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, long_id, materialize, read_table, text_groups, trimmed
+from .common import drop_tables, input_bytes, long_id, materialize, read_table, text_groups, trimmed
 from .components import connected_components, rekeyed
 
 WIDTH = 5
@@ -125,13 +135,16 @@ _EDGES = np.array(_band_edges(1 << 40), np.int64)
 
 
 @lru_cache(maxsize=None)
-def band(k: int) -> tuple[int, int, int, int]:
-    """Least size, end of sizes, parts of the fine and of the coarse partition (0: none) of band k."""
+def band(k: int, again: int = 0, scale: float = 1.0) -> tuple[int, int, int, int]:
+    """Least size, end of sizes, parts of the fine and of the coarse partition (0: none) of band k.
+
+    ``again``: how often the band was indexed before; its parts double, without a coarse partition.
+    """
     low, high = int(_EDGES[k]), int(_EDGES[k + 1])
     need = (high - 1 + largest_partner(high - 1)) // 7 + 1
     if high - 1 <= SMALL:
-        return low, high, FINE, max(2, math.ceil(0.7 * need))
-    return low, high, math.ceil((2.6 if high <= 70 else 2.2 if high <= 200 else 1.6) * need), 0
+        return low, high, FINE << again, 0 if again else max(2, math.ceil(0.7 * need))
+    return low, high, math.ceil(scale * (2.6 if high <= 70 else 2.2 if high <= 200 else 1.6) * need) << again, 0
 
 
 def memberships(size: int) -> list[tuple[int, int]]:
@@ -166,17 +179,20 @@ def _parts(elements: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.
     return part[first], sums, sizes, value
 
 
-def signatures(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """64-bit signatures, their 8 bits of meaning, and for each ``which`` the parts a set has.
+def signatures(elements: np.ndarray, again: int = 0, scale: float = 1.0, bands: frozenset[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """64-bit signatures, their 8 bits of meaning, and for each ``which`` the parts a set has; of all bands or of ``bands``.
 
     Meaning: which << 7 | coarse << 6 | deletion << 5 | part (coarse only).  A figure holds the
     fine parts in its low 32 bits, then the coarse ones, then those of two elements or more.
     """
     sigs, kinds, figures = [], [], [0, 0]
     for k, which in memberships(len(elements)):
-        _, _, fine, coarse = band(k)
-        seg, sums, sizes, _ = _parts(elements, fine, 2 * k + 1)
-        sigs.append(mix(sums ^ mix(seg.astype(U64) + U64((2 * k + 1) << 40))))
+        if bands is not None and k not in bands:
+            continue
+        _, _, fine, coarse = band(k, again, scale)
+        salt_of = 2 * k + 1 + (again << 20)
+        seg, sums, sizes, _ = _parts(elements, fine, salt_of)
+        sigs.append(mix(sums ^ mix(seg.astype(U64) + U64(salt_of << 40))))
         kinds.append(np.full(len(sums), which << 7, np.uint8))
         figures[which] = len(sums)
         if coarse:
@@ -198,7 +214,7 @@ def signatures(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]
 _ENTRY = np.dtype([("set", "<u8"), ("sig", "<u4"), ("kind", "u1")])
 _FIGURE = np.dtype([("set", "<u8"), ("size", "<i8"), ("fig", "<i8", 2)])
 _SHARED = np.dtype([("set", "<u8"), ("sig", "<u8"), ("kind", "u1"), ("count", "<i8")])
-_CHOSEN = np.dtype([("set", "<u8"), ("sig", "<u8"), ("on", "?")])
+_CHOSEN = np.dtype([("set", "<u8"), ("sig", "<u8")])
 
 
 def set_hash(elements: np.ndarray) -> int:
@@ -206,6 +222,46 @@ def set_hash(elements: np.ndarray) -> int:
     return int(mix(np.array([elements.sum(dtype=U64) + U64(len(elements))], U64)).view(np.int64)[0]) if len(elements) else 0
 
 
+def second_hash(elements: np.ndarray) -> int:
+    """64 bits more, from other sums."""
+    return int(mix(elements ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64)) if len(elements) else 0
+
+
+#: Targets of an exchange at most; beyond, a target's rows are cut into pieces where they lie.
+TARGETS = 20_000
+#: Entries of one piece that a task holds before it takes its frequent signatures out.
+HELD = 8_000_000
+OFTEN = 1 << 40
+
+
+@dataclass(frozen=True)
+class Exchange:
+    """``parts`` targets of ``pieces`` each."""
+
+    parts: int
+    pieces: int = 1
+    held: int = HELD
+
+    @classmethod
+    def of(cls, size: int, part_mb: float, targets: int = TARGETS, held: int = HELD) -> Exchange:
+        wanted = max(1, round(size / (part_mb * 1e6)))
+        return cls(min(wanted, targets), -(-wanted // targets), held)
+
+    def deal(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        return _deal(keys, self.parts)
+
+    def send(self, rows: DataFrame, schema: str, *steps) -> DataFrame:
+        """Rows ``at, blob`` to their targets, cut into pieces there, through ``steps``, each on the result of the one before."""
+        out = rows.repartitionById(self.parts, F.col("at"))
+        if self.pieces > 1:  # packed anew where they lie, and sorted by Spark, which spills
+            out = out.mapInArrow(trimmed(_cut(self)), "at int, blob binary").sortWithinPartitions("at")
+        else:
+            out = out.sortWithinPartitions(F.substring("blob", 1, 1))
+        for step in steps:
+            out = out.mapInArrow(trimmed(step), schema)
+        return out
+
+
 def _deal(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, row numbers) of keys dealt by their value."""
     at = (keys % U64(parts)).astype(np.int64)
@@ -220,7 +276,7 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["at", "blob"])
 
 
-def _index(parts: int, width: int):
+def _index(ex: Exchange, width: int, again: int, scale: float, bands: frozenset[int] | None):
     """Stage 1: signatures of each task's distinct sets to the signatures' targets, figures to the sets'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +287,7 @@ def _index(parts: int, width: int):
                 if not sets:
                     continue
                 names = np.array(list(sets), U64)
-                found = [signatures(s) for s in sets.values()]
+                found = [signatures(s, again, scale, bands) for s in sets.values()]
                 figures = np.zeros(len(sets), _FIGURE)
                 figures["set"], figures["size"] = names, [len(s) for s in sets.values()]
                 figures["fig"] = [f[2] for f in found]
@@ -241,56 +297,135 @@ def _index(parts: int, width: int):
                 entries["sig"] = sig & U64(0xFFFFFFFF)
                 entries["kind"] = np.concatenate([f[1] for f in found])
                 del found, sets
-                rows = [(p, b"E" + entries[at].tobytes()) for p, at in _deal(sig >> U64(32), parts)]
-                rows += [(p, b"F" + figures[at].tobytes()) for p, at in _deal(mix(names), parts)]
+                rows = [(p, b"E" + entries[at].tobytes()) for p, at in ex.deal(sig >> U64(32))]
+                rows += [(p, b"F" + figures[at].tobytes()) for p, at in ex.deal(mix(names))]
                 yield _blobs(rows)
 
     return run
 
 
-def _tagged(batches: Iterator[pa.RecordBatch], kinds: dict[bytes, np.dtype]) -> tuple[int, dict[bytes, np.ndarray]]:
-    """The target of the rows, which all have the same, and the arrays under each tag."""
-    found: dict[bytes, list[np.ndarray]] = {k: [] for k in kinds}
-    part = -1
+#: Kinds of rows: their arrays, and what says the piece of an entry.
+_KINDS = {
+    b"A": (_CHOSEN, lambda e: mix(e["sig"])),  # allocations come before the entries that share their signatures
+    b"C": (_CHOSEN, lambda e: mix(e["sig"])),
+    b"E": (_ENTRY, lambda e: e["sig"].astype(U64)),
+    b"F": (_FIGURE, lambda e: mix(e["set"])),
+    b"S": (_SHARED, lambda e: mix(e["set"])),
+}
+
+
+def _cut(ex: Exchange):
+    """Rows of a target as rows of its pieces: ``at`` is piece and kind, so that sorting brings both together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], list[bytes]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            batch = _blobs([(piece << 8 | tag[0], tag + b"".join(parts)) for (piece, tag), parts in held.items()])
+            held.clear()
+            size = 0
+            return batch
+
+        for batch in batches:
+            for blob in batch.column(1):
+                raw = blob.as_buffer()
+                tag = raw[:1].to_pybytes()
+                kind, of = _KINDS[tag]
+                e = np.frombuffer(raw, kind, offset=1)
+                for piece, at in _deal(of(e) // U64(ex.parts), ex.pieces):
+                    part = e[at].tobytes()
+                    held.setdefault((piece, tag), []).append(part)
+                    size += len(part)
+            if size > 64_000_000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def _pieces(ex: Exchange, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(piece, kind, array) of rows in order of piece and kind."""
     for batch in batches:
         for at, blob in zip(batch.column(0), batch.column(1), strict=True):
             raw = blob.as_buffer()
             tag = raw[:1].to_pybytes()
-            found[tag].append(np.frombuffer(raw, kinds[tag], offset=1))
-            part = at.as_py()
-    return part, {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in found.items()}
+            yield (at.as_py() >> 8 if ex.pieces > 1 else 0), tag, np.frombuffer(raw, _KINDS[tag][0], offset=1)
 
 
-def _count(parts: int):
-    """Stage 2: how many sets share each signature; entries of shared ones go to their sets, figures go on."""
+def _count(ex: Exchange):
+    """Stage 2: how many sets share each signature; entries of shared ones go to their sets, figures go on.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found = _tagged(batches, {b"E": _ENTRY, b"F": _FIGURE})
-        if part < 0:
-            return
-        rows = [(part, b"F" + found[b"F"].tobytes())] if len(found[b"F"]) else []
-        e = found.pop(b"E")
-        sig = np.ascontiguousarray(e["sig"])
+    Entries beyond ``held`` are thinned: signatures that hold most of them count as OFTEN, and
+    their entries pass at once.
+    """
+
+    def counted(e: np.ndarray) -> np.ndarray:
+        sig = whole(e)
         order = np.argsort(sig)
         sig = sig[order]
         same = np.zeros(len(sig) + 1, bool)
         same[1:-1] = sig[1:] == sig[:-1]
-        e = e[order[same[1:] | same[:-1]]]
-        e = e[np.lexsort((e["kind"], e["set"], e["sig"]))]
-        if len(e):
-            new_sig = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])
-            new_set = new_sig.copy()
-            new_set[1:] |= e["set"][1:] != e["set"][:-1]
-            new_kind = new_set.copy()
-            new_kind[1:] |= e["kind"][1:] != e["kind"][:-1]
-            group = np.cumsum(new_sig) - 1
-            count = np.bincount(group, new_set.astype(np.float64)).astype(np.int64)[group]
-            stay = new_kind & (count > 1)
-            out = np.zeros(int(stay.sum()), _SHARED)
-            out["set"], out["kind"], out["count"] = e["set"][stay], e["kind"][stay], count[stay]
-            out["sig"] = e["sig"][stay].astype(U64) | U64(part << 32)
-            rows += [(p, b"S" + out[at].tobytes()) for p, at in _deal(mix(out["set"]), parts)]
-        yield _blobs(rows)
+        shared = same[1:] | same[:-1]
+        e, sig = e[order[shared]], sig[shared]
+        order = np.lexsort((e["kind"], e["set"], sig))
+        e, sig = e[order], sig[order]
+        if not len(e):
+            return np.zeros(0, _SHARED)
+        new_sig = np.concatenate([[True], sig[1:] != sig[:-1]])
+        new_set = new_sig.copy()
+        new_set[1:] |= e["set"][1:] != e["set"][:-1]
+        new_kind = new_set.copy()
+        new_kind[1:] |= e["kind"][1:] != e["kind"][:-1]
+        group = np.cumsum(new_sig) - 1
+        count = np.bincount(group, new_set.astype(np.float64)).astype(np.int64)[group]
+        return shared_rows(e, sig, count, new_kind & (count > 1))
+
+    def shared_rows(e: np.ndarray, sig: np.ndarray, count: np.ndarray, stay: np.ndarray) -> np.ndarray:
+        out = np.zeros(int(stay.sum()), _SHARED)
+        out["set"], out["kind"], out["count"], out["sig"] = e["set"][stay], e["kind"][stay], count[stay], sig[stay]
+        return out
+
+    def whole(e: np.ndarray) -> np.ndarray:
+        """Signatures, the target in place of the bits that led there; two that then are equal only cost comparisons."""
+        return e["sig"].astype(U64) | U64(TaskContext.get().partitionId() << 32)
+
+    def often(e: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of frequent signatures as shared ones, the other entries, and the frequent signatures known now."""
+        sig = whole(e)
+        values, counts = np.unique(sig, return_counts=True)
+        known = np.union1d(known, values[counts > max(1000, len(e) // 1000)])
+        hit = np.isin(sig, known)
+        return shared_rows(e, sig, np.full(len(e), OFTEN), hit), e[~hit], known
+
+    def sent(out: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(p, b"S" + out[at].tobytes()) for p, at in ex.deal(mix(out["set"]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        piece, held, size, known = -1, [], 0, np.zeros(0, U64)
+        for at, tag, e in _pieces(ex, batches):
+            if tag == b"F":
+                yield _blobs([(part, b"F" + e.tobytes())])
+                continue
+            if at != piece:
+                if held:
+                    yield _blobs(sent(counted(np.concatenate(held))))
+                piece, held, size, known = at, [], 0, known[:0]
+            if len(known):
+                hit = np.isin(whole(e), known)
+                if hit.any():
+                    yield _blobs(sent(shared_rows(e, whole(e), np.full(len(e), OFTEN), hit)))
+                    e = e[~hit]
+            held.append(e)
+            size += len(e)
+            if size > ex.held:
+                out, rest, known = often(np.concatenate(held), known)
+                yield _blobs(sent(out))
+                held, size = [rest], len(rest)
+        if held:
+            yield _blobs(sent(counted(np.concatenate(held))))
 
     return run
 
@@ -342,17 +477,14 @@ def free_elsewhere(entry: np.void, size: int, figures: np.ndarray) -> bool:
     return have >= needed(size, which)
 
 
-def _allocate(parts: int):
+def _allocate(ex: Exchange):
     """Stage 3: each set allocates H + 1 among its cheapest signatures.
 
-    A set whose allocation nobody shares links with none in that band and is left out.
+    A set whose allocation nobody shares links with none in that band and is left out.  The
+    sizes of sets with too few parts in every partition go to target -1.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, found = _tagged(batches, {b"S": _SHARED, b"F": _FIGURE})
-        e, figures = found[b"S"], found[b"F"]
-        if not len(e):
-            return
+    def chosen(e: np.ndarray, figures: np.ndarray) -> list[tuple[int, bytes]]:
         figures = figures[np.argsort(figures["set"], kind="stable")]
         e = e[np.lexsort((e["kind"] >> 6, e["set"]))]
         own = figures[np.searchsorted(figures["set"], e["set"])]
@@ -361,83 +493,140 @@ def _allocate(parts: int):
         end = np.append(first[1:], len(e))
         on = np.zeros(len(e), bool)
         alone = np.zeros(len(e), bool)  # entries of sets that link with none in their band
+        failed: set[int] = set()
         i = 0
         while i < len(first):
             a, b = first[i], end[i]
             size, figs = int(own["size"][a]), own["fig"][a]
-            chosen = [(a, b, *_choose(e[a:b], size, figs))]
+            found = [(a, b, *_choose(e[a:b], size, figs))]
             if i + 1 < len(first) and e["set"][first[i + 1]] == e["set"][a] and key[first[i + 1]] >> 1 == key[a] >> 1:
                 i += 1
-                chosen.append((first[i], end[i], *_choose(e[first[i] : end[i]], size, figs)))
+                found.append((first[i], end[i], *_choose(e[first[i] : end[i]], size, figs)))
             elif free_elsewhere(e[a], size, figs):
-                chosen.append((a, a, 1, on[:0]))
-            good = [c for c in chosen if c[2] > 0]
-            if not good:
-                raise ValueError("a set has too few parts in every partition; use another salt")
-            best = min(good, key=lambda c: c[2])
-            on[best[0] : best[1]] = best[3]
-            alone[a : end[i]] = best[2] == 1
+                found.append((a, a, 1, on[:0]))
+            good = [c for c in found if c[2] > 0]
+            if good:
+                best = min(good, key=lambda c: c[2])
+                on[best[0] : best[1]] = best[3]
+                alone[a : end[i]] = best[2] == 1
+            else:
+                failed.add(memberships(size)[-1 if key[a] >> 1 else 0][0])
             i += 1
-        e, on = e[~alone], on[~alone]
-        out = np.zeros(len(e), _CHOSEN)
-        out["set"], out["sig"], out["on"] = e["set"], e["sig"], on
-        yield _blobs([(p, b"C" + out[at].tobytes()) for p, at in _deal(mix(out["sig"]), parts)])
+        rows = [(-1, b"X" + np.array(sorted(failed), "<i4").tobytes())] if failed else []
+        for tag, keep in ((b"A", on & ~alone), (b"C", ~on & ~alone)):
+            out = np.zeros(int(keep.sum()), _CHOSEN)
+            out["set"], out["sig"] = e["set"][keep], e["sig"][keep]
+            rows += [(p, tag + out[at].tobytes()) for p, at in ex.deal(mix(out["sig"]))]
+        return rows
+
+    def few_parts(f: np.ndarray) -> list[tuple[int, bytes]]:
+        """Bands of sets that have too few parts in both partitions, whether they share any or not."""
+        size = f["size"]
+        own = np.searchsorted(_EDGES, size, side="right") - 1
+        need = np.stack([(size + size * DEN // NUM) // 7 + 1, (size + _EDGES[own] - 1) // 7 + 1], 1)
+        fig = f["fig"]
+        have = np.maximum(fig & 0xFFFFFFFF, (fig >> 32 & 0xFFFF) + (fig >> 48))
+        short = (fig != 0) & (have < need)
+        failed = np.unique(np.concatenate([own[short[:, 0]], own[short[:, 1]] - 1]))
+        return [(-1, b"X" + failed.astype("<i4").tobytes())] if len(failed) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, entries, figures = -1, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not figures:
+                return
+            f = np.concatenate(figures)
+            yield _blobs(few_parts(f))
+            if entries:
+                yield _blobs(chosen(np.concatenate(entries), f))
+
+        for at, tag, e in _pieces(ex, batches):
+            if at != piece:
+                yield from close()
+                piece, entries, figures = at, [], []
+            (figures if tag == b"F" else entries).append(e)
+        yield from close()
 
     return run
 
 
-def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stage 4: a signature that some set allocated connects all its sets to the least of them."""
-    e = _tagged(batches, {b"C": _CHOSEN})[1][b"C"]
-    if not len(e):
-        return
-    name = e["set"].astype(np.int64)
-    order = np.lexsort((name, e["sig"]))
-    e, name = e[order], name[order]
-    first = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])
-    group = np.cumsum(first) - 1
-    active = (np.bincount(group, e["on"].astype(np.float64)) > 0)[group]
-    hub = name[np.flatnonzero(first)][group]
-    keep = active & (hub != name)
-    pairs = np.unique(np.stack([hub[keep], name[keep]], 1), axis=0)
-    if len(pairs):
-        a, b = spanning(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def spanning(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what rows of pairs connect: each node but the least of its component, with that one."""
-    nodes, ends = np.unique(pairs, return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[ends[:, 0]], label[ends[:, 1]])
-        new = label.copy()
-        for k in (0, 1):
-            np.minimum.at(new, label[ends[:, k]], low)
-            np.minimum.at(new, ends[:, k], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[label[at]], nodes[at]
+def _connect(ex: Exchange, lists: bool):
+    """Stage 4: of the signatures that some set allocated, ``a, b, n``: hub, other set, and how often.
 
+    With ``lists`` instead the members of each list: ``a`` the signature, ``b`` the set.  What does
+    not fit in memory goes out early; its signatures keep their hubs.
+    """
 
-def _sized(parts: int, rows: DataFrame, run, schema: str) -> DataFrame:
-    return rows.repartitionById(parts, F.col("at")).mapInArrow(trimmed(run), schema)
+    def rows_of(held: list[np.ndarray], known: tuple[np.ndarray, np.ndarray]) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+        """Rows of what is held, and the hubs of its signatures beside those ``known`` (signatures in order, hubs)."""
+        e = np.concatenate(held)
+        name = e["set"].astype(np.int64)
+        order = np.lexsort((name, e["sig"]))
+        sig, name = e["sig"][order], name[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
+        sig, name = sig[new], name[new]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sig))))
+        values, hubs = sig[first], name[first].copy()
+        if len(known[0]):
+            at = np.minimum(np.searchsorted(known[0], values), len(known[0]) - 1)
+            hubs = np.where(known[0][at] == values, known[1][at], hubs)
+        if lists:
+            pairs, n = np.stack([sig.view(np.int64), name], 1), np.ones(len(sig), np.int64)
+        else:
+            keep = hubs[group] != name
+            pairs, n = np.unique(np.stack([hubs[group][keep], name[keep]], 1), axis=0, return_counts=True)
+        both, where = np.unique(np.concatenate([known[0], values]), return_index=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n, pa.int64())], ["a", "b", "n"])
+        return batch, (both, np.concatenate([known[1], hubs])[where])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.zeros(0, U64), np.zeros(0, np.int64)
+        piece, held, size, active, hubs = -1, [], 0, nothing[0], nothing
+        for at, tag, e in _pieces(ex, batches):
+            if at != piece:
+                if size:
+                    yield rows_of(held, hubs)[0]
+                piece, held, size, active, hubs = at, [], 0, nothing[0], nothing
+            if tag == b"A":  # all allocations of the piece come first
+                active = np.union1d(active, e["sig"])
+            else:
+                e = e[np.isin(e["sig"], active)]
+            held.append(e)
+            size += len(e)
+            if size > ex.held:
+                batch, hubs = rows_of(held, hubs)
+                yield batch
+                held, size = [], 0
+        if size:
+            yield rows_of(held, hubs)[0]
 
-def candidate_edges(texts: DataFrame, width: int, parts: int) -> DataFrame:
-    """Edges ``a, b`` of set hashes whose components hold every pair of linked, different sets.
+    return run
 
-    ``texts`` has id and text.
+
+def candidates(texts: DataFrame, width: int, ex: Exchange, lists: bool = False, scale: float = 1.0) -> DataFrame:
+    """``a, b, n`` of _connect() over ``texts`` (id and text): every pair of linked, different sets shares a list.
+
+    Bands in which a set has too few parts are indexed again, with more.
     """
     blob = "at int, blob binary"
-    rows = texts.mapInArrow(trimmed(_index(parts, width)), blob)
-    rows = _sized(parts, rows, _count(parts), blob)
-    rows = _sized(parts, rows, _allocate(parts), blob)
-    return _sized(parts, rows, _connect, "a long, b long")
+    out, bands, again = None, None, 0
+    while True:
+        rows = texts.mapInArrow(trimmed(_index(ex, width, again, scale, bands)), blob)
+        rows = ex.send(rows, blob, _count(ex))
+        rows = materialize(ex.send(rows, blob, _allocate(ex)), "allocated")
+        found = ex.send(rows.where("at >= 0"), "a long, b long, n long", _connect(ex, lists))
+        found = found.groupBy("a", "b").agg(F.sum("n").alias("n")) if not lists else found
+        found = materialize(found, "candidates")
+        failed = rows.where("at < 0").select("blob").distinct()  # at most as many rows as combinations of bands that failed
+        bands = frozenset(int(k) for r in failed.toLocalIterator() for k in np.frombuffer(r["blob"][1:], "<i4"))
+        drop_tables(texts.sparkSession, rows)
+        out = found if out is None else out.unionAll(found)
+        if not bands:
+            return out
+        again += 1
 
 
 def block_links(sets: list[np.ndarray]) -> np.ndarray:
@@ -489,50 +678,111 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _spread(width: int):
-    """Sets of clustered texts, once for each pair of blocks they take part in."""
+def _sets(width: int):
+    """Rows group, role, node, label and text as rows with the set in place of the text; empty sets are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts, cluster, blocks, mine = (batch.column(i).to_pylist() for i in range(5))
+            texts = batch.column(5).to_pylist()
             for a, b in text_groups(texts, 4_000_000):
-                out = []
-                for i, found in zip(range(a, b), shingle_sets(texts[a:b], width), strict=True):
-                    raw = found.tobytes()
-                    for other in range(blocks[i]):
-                        lo, hi = min(mine[i], other), max(mine[i], other)
-                        out.append((cluster[i], lo * blocks[i] + hi, docs[i], raw))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cluster", "pair", "doc", "raw"])
+                raws = [x.tobytes() for x in shingle_sets(texts[a:b], width)]
+                keep = pa.array([i for i, r in enumerate(raws) if r])
+                rows = [batch.column(k).slice(a, b - a).take(keep) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([r for r in raws if r], pa.binary())], ["cluster", "pair", "role", "node", "label", "raw"])
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cluster and pair of blocks: links of each pair of blocks, as a forest."""
+def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def settle(group: list[tuple[int, bytes]]) -> tuple[list[int], list[int]]:
+
+def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, the hub's sets first: members that link with the hub."""
+    key, hubs = None, []
+    for batch in batches:
+        a: list[int] = []
+        b: list[int] = []
+        for c, p, role, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(5), strict=True):
+            if (c, p) != key:
+                key, hubs = (c, p), []
+            x = np.frombuffer(raw.as_buffer(), U64)
+            if role == 0:
+                hubs.append(x)
+                continue
+            for hub in hubs:
+                if NUM * len(x) <= DEN * len(hub) and NUM * len(hub) <= DEN * len(x):
+                    at = np.searchsorted(hub, x)
+                    common = int((hub[np.minimum(at, len(hub) - 1)] == x).sum())
+                    if DEN * common >= NUM * (len(x) + len(hub) - common):
+                        a.append(c)
+                        b.append(node)
+                        break
+        yield _pairs_batch(a, b)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by list and pair of blocks: what links of sets of different labels connect, as a forest."""
+
+    def settle(group: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
         rows = sorted(set(group))
-        if len(rows) < 2:
+        if len({label for _, label, _ in rows}) < 2:
             return [], []
-        label = forest(block_links([np.frombuffer(raw, U64) for _, raw in rows]))
-        docs = np.array([d for d, _ in rows], np.int64)
-        at = np.flatnonzero(docs[label] != docs)
-        return docs[label[at]].tolist(), docs[at].tolist()
+        label = forest(block_links([np.frombuffer(raw, U64) for _, _, raw in rows]))
+        nodes = np.array([n for n, _, _ in rows], np.int64)
+        at = np.flatnonzero(nodes[label] != nodes)
+        return nodes[label[at]].tolist(), nodes[at].tolist()
 
     key, group = None, []
-    a: list[int] = []
-    b: list[int] = []
     for batch in batches:
-        for c, p, d, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+        a: list[int] = []
+        b: list[int] = []
+        for c, p, _, node, label, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if (c, p) != key:
                 for to, found in zip((a, b), settle(group), strict=True):
                     to += found
                 key, group = (c, p), []
-            if len(raw.as_buffer()):
-                group.append((d, raw.as_py()))
-    for to, found in zip((a, b), settle(group), strict=True):
-        to += found
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            group.append((node, label, raw))
+        yield _pairs_batch(a, b)
+    yield _pairs_batch(*settle(group))
+
+
+def compared(rows: DataFrame, held: DataFrame, width: int, parts: int, run) -> DataFrame:
+    """Links ``a, b`` found by ``run`` in the groups of ``rows`` (cluster, pair, role, node, label), texts taken from ``held`` (id, text)."""
+    # the same plan at every size: texts are never weighed against a broadcast
+    texts = rows.hint("merge").join(held, rows["node"] == held["id"]).select("cluster", "pair", "role", "node", "label", "text")
+    sets = texts.mapInArrow(trimmed(_sets(width)), "cluster long, pair long, role int, node long, label long, raw binary")
+    return sets.repartition(max(parts, 12), "cluster", "pair").sortWithinPartitions("cluster", "pair", "role").mapInArrow(trimmed(run), "a long, b long")
+
+
+def with_hubs(edges: DataFrame, held: DataFrame, width: int, parts: int, block: int) -> DataFrame:
+    """Those of the edges ``a, b`` that link; members of a hub are dealt over blocks, the hub goes to each."""
+    sized = edges.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = edges.select(rekeyed("a"), "a", "b").join(sized.select(rekeyed("a"), "blocks"), "key")
+    zero = F.lit(0).cast("long").alias("label")
+    rows = members.select(F.col("a").alias("cluster"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("pair"), F.lit(1).alias("role"), F.col("b").alias("node"), zero)
+    hubs = sized.select(F.col("a").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("pair"), F.lit(0).alias("role"), F.col("a").alias("node"), zero)
+    return compared(rows.unionAll(hubs), held, width, parts, _with_hub)
+
+
+def within_lists(lists: DataFrame, held: DataFrame, width: int, parts: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links that connect labels within lists: rows ``a`` (the list), ``node``, ``label``, ``n`` (the set's size).
+
+    Lists of one label are left out, and of lists with the same members all but one.
+    """
+    figures = lists.groupBy("a").agg(
+        F.count_distinct("label").alias("labels"),
+        F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"),
+        F.count("*").alias("size"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
+    )
+    one_each = figures.where("labels > 1").groupBy("size", "members").agg(F.min(F.struct("a", "blocks")).alias("m")).select(F.col("m.a").alias("a"), F.col("m.blocks").alias("blocks"))
+    kept = lists.select(rekeyed("a"), "a", "node", "label").join(one_each.select(rekeyed("a"), "blocks"), "key")
+    dealt = kept.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("mine", "other") * F.col("blocks").cast("long") + F.greatest("mine", "other")
+    rows = each.select(F.col("a").alias("cluster"), pair.alias("pair"), F.lit(1).alias("role"), "node", "label")
+    return compared(rows, held, width, parts, _blocks)
 
 
 def _describe(width: int):
@@ -541,42 +791,66 @@ def _describe(width: int):
             texts = batch.column(1).to_pylist()
             for a, b in text_groups(texts, 12_000_000):
                 found = shingle_sets(texts[a:b], width)
-                columns = [pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) for s in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", "n_shingles", "set_hash"])
+                columns = [pa.array([f(s) for s in found], pa.int64()) for f in (len, set_hash, second_hash)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", "n_shingles", "set_hash", "set_hash2"])
 
     return run
 
 
 def jaccard_components(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, part_mb: float = 10.0, block_docs: int = 768, block_shingles: int = 300_000
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, part_mb: float = 10.0, block_docs: int = 768, block_shingles: int = 300_000, targets: int = TARGETS, held: int = HELD, scale: float = 1.0
 ) -> DataFrame:
     """``id_col``, ``n_shingles``, ``set_hash``, ``class_id`` (least id with the same set) and ``component_id``.
 
-    ``part_mb`` is the input behind one target of the signature exchange; ``block_docs`` and
-    ``block_shingles`` bound one block of a cluster that is verified at a time.
+    ``part_mb`` is the input behind one piece of the signature exchange, ``targets`` how many
+    targets it has at most, ``held`` the entries of a piece in memory; ``block_docs`` and
+    ``block_shingles`` bound the sets compared at a time; ``scale`` is that of the number of
+    parts, of which sets that have too few get more.
     """
     texts = df.select(long_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(1, min(100_000, round(input_bytes(df, text_col) / (part_mb * 1e6))))
-    sizes = materialize(texts.mapInArrow(trimmed(_describe(width)), "id long, n_shingles long, set_hash long"), "sets")
-    candidates = connected_components(candidate_edges(texts, width, parts))
+    ex = Exchange.of(input_bytes(df, text_col), part_mb, targets, held)
+    sizes = materialize(texts.mapInArrow(trimmed(_describe(width)), "id long, n_shingles long, set_hash long, set_hash2 long"), "sets")
+    hubs = candidates(texts, width, ex, scale=scale)
     present = sizes.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(present.groupBy("set_hash").agg(F.min("id").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
-    members = candidates.join(classes, candidates["node"] == classes["set_hash"]).select(F.col("class_id").alias("node"), "component", "n")
-    totals = members.groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
-    )
-    totals = totals.select(rekeyed("component"), "blocks")
-    dealt = materialize(members.withColumn("key", rekeyed("component")).join(totals, "key").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
-    # the same plan at every size: texts are never weighed against a broadcast
-    clustered = texts.join(dealt.hint("merge"), texts["id"] == dealt["node"]).select("id", "text", "component", "blocks", "mine")
-    spread = clustered.mapInArrow(trimmed(_spread(width)), "cluster long, pair long, doc long, raw binary")
-    pairs = spread.repartition(max(parts, 12), "cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(trimmed(_verify), "a long, b long")
-    linked = connected_components(pairs)
-    labelled = classes.join(linked, classes["class_id"] == linked["node"], "left").select("set_hash", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sizes.join(labelled, "set_hash", "left")
+    same_set = "set_hash", "set_hash2", "n_shingles"
+    classes = materialize(present.groupBy(*same_set).agg(F.min("id").alias("class_id")), "classes")
+    named = lambda x: classes.select(F.col("set_hash").alias("__" + x), F.col("class_id").alias(x))
+    edges = hubs.join(named("hub"), hubs["a"] == F.col("__hub")).join(named("node"), hubs["b"] == F.col("__node"))
+    edges = materialize(edges.where("hub <> node").groupBy("hub", "node").agg(F.sum("n").alias("n")), "edges")
+    wanted = edges.select(F.explode(F.array("hub", "node")).alias("id")).distinct()
+    near = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"), "near")
+    # one comparison with the hub of most lists; then with the other hubs; then within lists
+    best = edges.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    first = materialize(with_hubs(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), near, width, ex.parts, block_docs), "links")
+    labels = materialize(connected_components(first), "labels")
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        of = lambda x: labels.select(F.col("node").alias("__" + x), F.col("component").alias("of_" + x))
+        both = pairs.join(of("hub"), pairs["hub"] == F.col("__hub"), "left").join(of("node"), pairs["node"] == F.col("__node"), "left")
+        return both.where("not coalesce(of_hub = of_node, false)").select(*pairs.columns)
+
+    rest = apart(edges.join(best, ["hub", "node"], "left_anti").select("hub", "node"), labels)
+    second = with_hubs(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")), near, width, ex.parts, block_docs)
+    stars = lambda found: found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    labels = materialize(connected_components(second.unionAll(stars(labels))), "labels")
+    # sets whose candidates are not all one component yet share lists that are compared whole
+    groups = connected_components(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    own = groups.join(labels.select(F.col("node").alias("__n"), F.col("component").alias("label")), groups["node"] == F.col("__n"), "left").select("node", "component", F.coalesce("label", "node").alias("label"))
+    unsettled = own.groupBy("component").agg(F.count("*").alias("size"), F.count_distinct("label").alias("labels")).where("size > 2 and labels > 1")
+    open_nodes = materialize(own.select(rekeyed("component"), "node", "label").join(unsettled.select(rekeyed("component")), "key", "left_semi").select("node", "label"), "open")
+    links = stars(labels)
+    if not open_nodes.isEmpty():
+        again = near.join(open_nodes.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi")
+        found = candidates(again, width, ex, lists=True, scale=scale)
+        members = classes.join(open_nodes, classes["class_id"] == open_nodes["node"]).select("set_hash", "node", "label", F.col("n_shingles").alias("n"))
+        lists = materialize(found.select("a", "b").distinct().join(members, found["b"] == members["set_hash"]).select("a", "node", "label", "n"), "lists")
+        links = links.unionAll(within_lists(lists, near, width, ex.parts, block_docs, block_shingles))
+    linked = connected_components(links)
+    labelled = classes.join(linked, classes["class_id"] == linked["node"], "left").select(*same_set, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = sizes.join(labelled, list(same_set), "left")
     alone = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
-    own = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "set_hash", own.alias("class_id"), alone.alias("component_id"))
+    own_class = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "set_hash", own_class.alias("class_id"), alone.alias("component_id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,16 +36,6 @@ def test_components(spark, seed):
     assert connected_components(df.limit(0)).count() == 0
 
 
-def test_spanning_stars():
-    rng = np.random.default_rng(4)
-    pairs = rng.integers(0, 400, (260, 2))
-    a, b = jaccard_join.spanning(pairs)
-    nodes = sorted(set(pairs.reshape(-1).tolist()))
-    expected = brute_components(nodes, [tuple(p) for p in pairs.tolist()])
-    assert {n: expected[n] for n in b.tolist()} == dict(zip(b.tolist(), a.tolist(), strict=True))
-    assert set(b.tolist()) == {n for n in nodes if expected[n] != n}
-
-
 def shingles(text):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if len(words) < 5:
@@ -88,8 +78,12 @@ def corpus(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("part_mb, block", [(10.0, 768), (0.02, 32)])
-def test_jaccard_components_equal_brute_force(spark, part_mb, block):
+#: Plain; many targets and blocks; targets cut into pieces that overflow; too few parts at first.
+WAYS = {"plain": {}, "targets": {"part_mb": 0.02, "block_docs": 32}, "pieces": {"part_mb": 0.01, "targets": 3, "held": 300, "block_docs": 16}, "few parts": {"scale": 0.2}}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_jaccard_components_equal_brute_force(spark, way):
     texts = corpus()
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
@@ -97,12 +91,38 @@ def test_jaccard_components_equal_brute_force(spark, part_mb, block):
     pairs = [(ids[i], ids[j]) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j])]
     expected = brute_components(ids, pairs)
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)] + [(None, "a b c", "x")], "doc_id long, text string, component_id string")
-    rows = jaccard_join.jaccard_components(df, part_mb=part_mb, block_docs=block).collect()
+    rows = jaccard_join.jaccard_components(df, **WAYS[way]).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == expected
     assert {r["doc_id"]: r["n_shingles"] for r in rows if r["doc_id"] is not None} == {i: len(s) for i, s in zip(ids, sets, strict=True)}
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
 
 
+def test_a_chain_of_hubs_and_shared_passages(spark):
+    """Sets that share signatures along a chain, none of whose far ends link, and lists whose members link past their hub."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    text = words[:150]
+    texts = []
+    for k in range(60):  # each step changes a few words: neighbours link, distant ones don't
+        texts.append(" ".join(text))
+        for i in rng.sample(range(150), 3):
+            text[i] = rng.choice(words)
+    shared = [rng.choice(words) for _ in range(40)]
+    for _ in range(40):  # a passage that all share, linked in pairs only
+        own = [rng.choice(words) for _ in range(40)]
+        texts += [" ".join(shared + own), " ".join(shared + own + [rng.choice(words)])]
+    short = [rng.choice(words) for _ in range(9)]
+    for _ in range(60):
+        texts.append(" ".join(short + [rng.choice(words) for _ in range(rng.randrange(3))]))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    sets = [shingles(t) for t in texts]
+    expected = brute_components(ids, [(ids[i], ids[j]) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j])])
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df, block_docs=8).collect()}
+    assert found == expected
+
+
 def test_jaccard_repeats_and_nothing(spark):
     t = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(4, t), (4, t), (2, t + " more"), (9, None), (9, None)], "doc_id long, text string")
