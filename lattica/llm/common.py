@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.sources.store import materialize
+from lattica.sources.store import drop_tables, materialize
 
-__all__ = ["ChunkCache", "drop_tables", "input_bytes", "long_id", "materialize", "read_table", "text_groups", "trimmed"]
+__all__ = ["ChunkCache", "drop_tables", "input_bytes", "long_id", "materialize", "read_table", "release", "text_groups", "trimmed"]
 
 
-def drop_tables(spark: SparkSession, *dfs: DataFrame) -> None:
-    """Remove what materialize() wrote for dfs; only for tables nothing lazy still reads."""
-    jvm = spark.sparkContext._jvm
-    for df in dfs:
-        for f in df.inputFiles()[:1]:
-            p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files behind tables that are written: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame, text_col: str) -> int:

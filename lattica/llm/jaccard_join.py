@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, input_bytes, long_id, materialize, read_table, text_groups, trimmed
+from .common import drop_tables, input_bytes, long_id, materialize, read_table, release, text_groups, trimmed
 from .components import connected_components, rekeyed
 
 WIDTH = 5
@@ -212,9 +212,10 @@ def signatures(elements: np.ndarray, again: int = 0, scale: float = 1.0, bands:
 
 #: What travels between stages: signatures of sets, figures of sets, shared signatures, allocations.
 _ENTRY = np.dtype([("set", "<u8"), ("sig", "<u4"), ("kind", "u1")])
-_FIGURE = np.dtype([("set", "<u8"), ("size", "<i8"), ("fig", "<i8", 2)])
+_FIGURE = np.dtype([("set", "<u8"), ("size", "<i8"), ("fig", "<i8", 2), ("label", "<i8")])
 _SHARED = np.dtype([("set", "<u8"), ("sig", "<u8"), ("kind", "u1"), ("count", "<i8")])
 _CHOSEN = np.dtype([("set", "<u8"), ("sig", "<u8")])
+_LABELLED = np.dtype([("set", "<u8"), ("sig", "<u8"), ("label", "<i8")])
 
 
 def set_hash(elements: np.ndarray) -> int:
@@ -281,16 +282,20 @@ def _index(ex: Exchange, width: int, again: int, scale: float, bands: frozenset[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, texts, labels = (batch.column(k).to_pylist() for k in range(3))
             for a, b in text_groups(texts, 8_000_000):
-                sets = {set_hash(s) % 2**64: s for d, s in zip(docs[a:b], shingle_sets(texts[a:b], width), strict=True) if d is not None and len(s) > 2}
+                sets, label_of = {}, {}
+                for d, s, label in zip(docs[a:b], shingle_sets(texts[a:b], width), labels[a:b], strict=True):
+                    if d is not None and len(s) > 2:
+                        name = set_hash(s) % 2**64
+                        sets[name], label_of[name] = s, label
                 if not sets:
                     continue
                 names = np.array(list(sets), U64)
                 found = [signatures(s, again, scale, bands) for s in sets.values()]
                 figures = np.zeros(len(sets), _FIGURE)
                 figures["set"], figures["size"] = names, [len(s) for s in sets.values()]
-                figures["fig"] = [f[2] for f in found]
+                figures["fig"], figures["label"] = [f[2] for f in found], list(label_of.values())
                 entries = np.zeros(sum(len(f[0]) for f in found), _ENTRY)
                 sig = np.concatenate([f[0] for f in found])
                 entries["set"] = np.repeat(names, [len(f[0]) for f in found])
@@ -307,7 +312,9 @@ def _index(ex: Exchange, width: int, again: int, scale: float, bands: frozenset[
 #: Kinds of rows: their arrays, and what says the piece of an entry.
 _KINDS = {
     b"A": (_CHOSEN, lambda e: mix(e["sig"])),  # allocations come before the entries that share their signatures
+    b"B": (_LABELLED, lambda e: mix(e["sig"])),
     b"C": (_CHOSEN, lambda e: mix(e["sig"])),
+    b"D": (_LABELLED, lambda e: mix(e["sig"])),
     b"E": (_ENTRY, lambda e: e["sig"].astype(U64)),
     b"F": (_FIGURE, lambda e: mix(e["set"])),
     b"S": (_SHARED, lambda e: mix(e["set"])),
@@ -477,7 +484,7 @@ def free_elsewhere(entry: np.void, size: int, figures: np.ndarray) -> bool:
     return have >= needed(size, which)
 
 
-def _allocate(ex: Exchange):
+def _allocate(ex: Exchange, lists: bool):
     """Stage 3: each set allocates H + 1 among its cheapest signatures.
 
     A set whose allocation nobody shares links with none in that band and is left out.  The
@@ -513,9 +520,11 @@ def _allocate(ex: Exchange):
                 failed.add(memberships(size)[-1 if key[a] >> 1 else 0][0])
             i += 1
         rows = [(-1, b"X" + np.array(sorted(failed), "<i4").tobytes())] if failed else []
-        for tag, keep in ((b"A", on & ~alone), (b"C", ~on & ~alone)):
-            out = np.zeros(int(keep.sum()), _CHOSEN)
+        for tag, keep in ((b"B" if lists else b"A", on & ~alone), (b"D" if lists else b"C", ~on & ~alone)):
+            out = np.zeros(int(keep.sum()), _KINDS[tag][0])
             out["set"], out["sig"] = e["set"][keep], e["sig"][keep]
+            if lists:
+                out["label"] = own["label"][keep]
             rows += [(p, tag + out[at].tobytes()) for p, at in ex.deal(mix(out["sig"]))]
         return rows
 
@@ -554,11 +563,12 @@ def _allocate(ex: Exchange):
 def _connect(ex: Exchange, lists: bool):
     """Stage 4: of the signatures that some set allocated, ``a, b, n``: hub, other set, and how often.
 
-    With ``lists`` instead the members of each list: ``a`` the signature, ``b`` the set.  What does
-    not fit in memory goes out early; its signatures keep their hubs.
+    With ``lists`` instead the members of each list of several labels: ``a`` the signature, ``b``
+    the set, ``n`` its label.  What does not fit in memory goes out early, of whatever labels;
+    its signatures keep their hubs.
     """
 
-    def rows_of(held: list[np.ndarray], known: tuple[np.ndarray, np.ndarray]) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+    def rows_of(held: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], whole: bool) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
         """Rows of what is held, and the hubs of its signatures beside those ``known`` (signatures in order, hubs)."""
         e = np.concatenate(held)
         name = e["set"].astype(np.int64)
@@ -566,7 +576,7 @@ def _connect(ex: Exchange, lists: bool):
         sig, name = e["sig"][order], name[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
-        sig, name = sig[new], name[new]
+        sig, name, order = sig[new], name[new], order[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sig))))
         values, hubs = sig[first], name[first].copy()
@@ -574,7 +584,11 @@ def _connect(ex: Exchange, lists: bool):
             at = np.minimum(np.searchsorted(known[0], values), len(known[0]) - 1)
             hubs = np.where(known[0][at] == values, known[1][at], hubs)
         if lists:
-            pairs, n = np.stack([sig.view(np.int64), name], 1), np.ones(len(sig), np.int64)
+            n = e["label"][order]
+            keep = np.ones(len(sig), bool)
+            if whole:
+                keep = (np.minimum.reduceat(n, first) != np.maximum.reduceat(n, first))[group]
+            pairs, n = np.stack([sig.view(np.int64), name], 1)[keep], n[keep]
         else:
             keep = hubs[group] != name
             pairs, n = np.unique(np.stack([hubs[group][keep], name[keep]], 1), axis=0, return_counts=True)
@@ -588,26 +602,26 @@ def _connect(ex: Exchange, lists: bool):
         for at, tag, e in _pieces(ex, batches):
             if at != piece:
                 if size:
-                    yield rows_of(held, hubs)[0]
+                    yield rows_of(held, hubs, not len(hubs[0]))[0]
                 piece, held, size, active, hubs = at, [], 0, nothing[0], nothing
-            if tag == b"A":  # all allocations of the piece come first
+            if tag in b"AB":  # all allocations of the piece come first
                 active = np.union1d(active, e["sig"])
             else:
                 e = e[np.isin(e["sig"], active)]
             held.append(e)
             size += len(e)
             if size > ex.held:
-                batch, hubs = rows_of(held, hubs)
+                batch, hubs = rows_of(held, hubs, False)
                 yield batch
                 held, size = [], 0
         if size:
-            yield rows_of(held, hubs)[0]
+            yield rows_of(held, hubs, not len(hubs[0]))[0]
 
     return run
 
 
 def candidates(texts: DataFrame, width: int, ex: Exchange, lists: bool = False, scale: float = 1.0) -> DataFrame:
-    """``a, b, n`` of _connect() over ``texts`` (id and text): every pair of linked, different sets shares a list.
+    """``a, b, n`` of _connect() over ``texts`` (id, text, label): every pair of linked, different sets shares a list.
 
     Bands in which a set has too few parts are indexed again, with more.
     """
@@ -616,13 +630,14 @@ def candidates(texts: DataFrame, width: int, ex: Exchange, lists: bool = False,
     while True:
         rows = texts.mapInArrow(trimmed(_index(ex, width, again, scale, bands)), blob)
         rows = ex.send(rows, blob, _count(ex))
-        rows = materialize(ex.send(rows, blob, _allocate(ex)), "allocated")
+        rows = materialize(ex.send(rows, blob, _allocate(ex, lists)), "allocated")
         found = ex.send(rows.where("at >= 0"), "a long, b long, n long", _connect(ex, lists))
         found = found.groupBy("a", "b").agg(F.sum("n").alias("n")) if not lists else found
         found = materialize(found, "candidates")
         failed = rows.where("at < 0").select("blob").distinct()  # at most as many rows as combinations of bands that failed
         bands = frozenset(int(k) for r in failed.toLocalIterator() for k in np.frombuffer(r["blob"][1:], "<i4"))
         drop_tables(texts.sparkSession, rows)
+        release(texts.sparkSession)
         out = found if out is None else out.unionAll(found)
         if not bands:
             return out
@@ -810,7 +825,7 @@ def jaccard_components(
     texts = df.select(long_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ex = Exchange.of(input_bytes(df, text_col), part_mb, targets, held)
     sizes = materialize(texts.mapInArrow(trimmed(_describe(width)), "id long, n_shingles long, set_hash long, set_hash2 long"), "sets")
-    hubs = candidates(texts, width, ex, scale=scale)
+    hubs = candidates(texts.withColumn("label", F.lit(0).cast("long")), width, ex, scale=scale)
     present = sizes.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     same_set = "set_hash", "set_hash2", "n_shingles"
     classes = materialize(present.groupBy(*same_set).agg(F.min("id").alias("class_id")), "classes")
@@ -819,9 +834,11 @@ def jaccard_components(
     edges = materialize(edges.where("hub <> node").groupBy("hub", "node").agg(F.sum("n").alias("n")), "edges")
     wanted = edges.select(F.explode(F.array("hub", "node")).alias("id")).distinct()
     near = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"), "near")
+    release(df.sparkSession)
     # one comparison with the hub of most lists; then with the other hubs; then within lists
     best = edges.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     first = materialize(with_hubs(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), near, width, ex.parts, block_docs), "links")
+    release(df.sparkSession)
     labels = materialize(connected_components(first), "labels")
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -833,6 +850,7 @@ def jaccard_components(
     second = with_hubs(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")), near, width, ex.parts, block_docs)
     stars = lambda found: found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     labels = materialize(connected_components(second.unionAll(stars(labels))), "labels")
+    release(df.sparkSession)
     # sets whose candidates are not all one component yet share lists that are compared whole
     groups = connected_components(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     own = groups.join(labels.select(F.col("node").alias("__n"), F.col("component").alias("label")), groups["node"] == F.col("__n"), "left").select("node", "component", F.coalesce("label", "node").alias("label"))
@@ -840,11 +858,11 @@ def jaccard_components(
     open_nodes = materialize(own.select(rekeyed("component"), "node", "label").join(unsettled.select(rekeyed("component")), "key", "left_semi").select("node", "label"), "open")
     links = stars(labels)
     if not open_nodes.isEmpty():
-        again = near.join(open_nodes.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi")
+        again = near.join(open_nodes.select(F.col("node").alias("id"), "label").hint("merge"), "id").select("id", "text", "label")
         found = candidates(again, width, ex, lists=True, scale=scale)
-        members = classes.join(open_nodes, classes["class_id"] == open_nodes["node"]).select("set_hash", "node", "label", F.col("n_shingles").alias("n"))
-        lists = materialize(found.select("a", "b").distinct().join(members, found["b"] == members["set_hash"]).select("a", "node", "label", "n"), "lists")
-        links = links.unionAll(within_lists(lists, near, width, ex.parts, block_docs, block_shingles))
+        members = classes.select("set_hash", F.col("class_id").alias("node"), F.col("n_shingles").alias("n"))
+        lists = found.select("a", "b", F.col("n").alias("label")).distinct().join(members, F.col("b") == members["set_hash"]).select("a", "node", "label", "n")
+        links = links.unionAll(within_lists(materialize(lists, "lists"), near, width, ex.parts, block_docs, block_shingles))
     linked = connected_components(links)
     labelled = classes.join(linked, classes["class_id"] == linked["node"], "left").select(*same_set, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sizes.join(labelled, list(same_set), "left")
