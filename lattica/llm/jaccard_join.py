@@ -13,8 +13,10 @@ with twice the parts, until none has.
 Only sets that share an allocated signature are compared, exactly, and only while they are
 not connected yet.  First each set is compared with the hub of its lists, the least set of
 a list, which settles groups of near copies with one comparison a set; then with its other
-hubs; then the lists that still hold sets of several components are taken again, without
-those that repeat another's members, cut into blocks, and compared pair by pair of blocks.
+hubs.  A group of candidates that still holds several components is then compared whole, if
+it is no more than a block; a larger one by the lists that its sets share, without those of
+one component and those that repeat another's members, or whole if that costs less; what
+is more than a block is compared pair by pair of blocks.
 What is returned is a spanning set of the links, never the links of a clique one by one.
 
 Equal sets are one class: they are found by 128 bits of hash before anything is joined,
@@ -851,18 +853,29 @@ def jaccard_components(
     stars = lambda found: found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     labels = materialize(connected_components(second.unionAll(stars(labels))), "labels")
     release(df.sparkSession)
-    # sets whose candidates are not all one component yet share lists that are compared whole
+    # sets whose candidates are not all one component yet: groups of one block are compared whole, others by the lists they share
     groups = connected_components(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     own = groups.join(labels.select(F.col("node").alias("__n"), F.col("component").alias("label")), groups["node"] == F.col("__n"), "left").select("node", "component", F.coalesce("label", "node").alias("label"))
-    unsettled = own.groupBy("component").agg(F.count("*").alias("size"), F.count_distinct("label").alias("labels")).where("size > 2 and labels > 1")
-    open_nodes = materialize(own.select(rekeyed("component"), "node", "label").join(unsettled.select(rekeyed("component")), "key", "left_semi").select("node", "label"), "open")
-    links = stars(labels)
-    if not open_nodes.isEmpty():
-        again = near.join(open_nodes.select(F.col("node").alias("id"), "label").hint("merge"), "id").select("id", "text", "label")
-        found = candidates(again, width, ex, lists=True, scale=scale)
-        members = classes.select("set_hash", F.col("class_id").alias("node"), F.col("n_shingles").alias("n"))
-        lists = found.select("a", "b", F.col("n").alias("label")).distinct().join(members, F.col("b") == members["set_hash"]).select("a", "node", "label", "n")
-        links = links.unionAll(within_lists(materialize(lists, "lists"), near, width, ex.parts, block_docs, block_shingles))
+    own = materialize(own.join(classes.select(F.col("class_id").alias("__c"), F.col("n_shingles").alias("n")), own["node"] == F.col("__c")).select("node", "component", "label", "n"), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).alias("blocks")
+    unsettled = own.groupBy("component").agg(F.count("*").alias("size"), F.count_distinct("label").alias("labels"), blocks).where("size > 2 and labels > 1")
+    open_nodes = materialize(own.withColumn("key", rekeyed("component")).join(unsettled.select(rekeyed("component"), "size", "blocks"), "key").drop("key"), "open")
+    whole = open_nodes.where("blocks = 1").select(F.col("component").alias("a"), "node", "label", "n")
+    large = open_nodes.where("blocks > 1")
+    if not large.isEmpty():
+        again = near.join(large.select(F.col("node").alias("id"), "label").hint("merge"), "id").select("id", "text", "label")
+        found = candidates(again, width, ex, lists=True, scale=scale).select("a", "b").distinct()
+        members = classes.select("set_hash", F.col("class_id").alias("__c"))
+        lists = found.join(members, F.col("b") == members["set_hash"]).select("a", F.col("__c").alias("m"))
+        lists = materialize(lists.join(large, F.col("m") == large["node"]).select("a", "node", "label", "n", "component"), "lists")
+        # what lists cost, as sets sent, against the group as one list
+        sent = lists.groupBy("a").agg(blocks).select(rekeyed("a"), "blocks")
+        costs = lists.select(rekeyed("a"), "component").join(sent, "key").groupBy("component").agg(F.sum("blocks").alias("cost"))
+        dear = large.groupBy("component").agg(F.first(F.col("size") * F.col("blocks")).alias("all")).join(costs, "component", "left").where("cost >= all").select(rekeyed("component"))
+        kept = lists.withColumn("key", rekeyed("component")).join(dear, "key", "left_anti").select("a").distinct()
+        whole = whole.unionAll(large.withColumn("key", rekeyed("component")).join(dear, "key", "left_semi").select(F.col("component").alias("a"), "node", "label", "n"))
+        whole = whole.unionAll(lists.join(kept, "a", "left_semi").select("a", "node", "label", "n"))
+    links = stars(labels).unionAll(within_lists(whole, near, width, ex.parts, block_docs, block_shingles))
     linked = connected_components(links)
     labelled = classes.join(linked, classes["class_id"] == linked["node"], "left").select(*same_set, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sizes.join(labelled, list(same_set), "left")
