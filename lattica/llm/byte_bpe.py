@@ -83,6 +83,7 @@ class ByteBpe:
         self.bytes_of = {r: t for t, r in ordered}
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.split = regex.compile(pattern).findall
+        self.cut = pattern == default_pattern()  # only of this pattern it is known that texts may be cut at spaces
         self.inner_space = re.compile(r" \s").search
         self.plain = ChunkCache(self._fill)
         self.spaced = ChunkCache(lambda chunks: self._fill([" " + c for c in chunks]))
@@ -99,15 +100,16 @@ class ByteBpe:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
-        A single space before a non-space always begins a match, so the text is cut there and
-        each cut is looked up; a text with a longer run of spaces inside goes through whole.
+        A single space before a non-space always begins a match of the bundled pattern, so the
+        text is cut there and each cut is looked up; a text with a longer run of spaces inside
+        goes through whole, and so does every text under another pattern.
         """
         out: list[bytes] = []
         for a, b in text_groups(texts):
             whole, cuts = {}, {}
             for i in range(a, b):
                 t = texts[i] or ""
-                if not t or t[-1] == " " or self.inner_space(t):
+                if not self.cut or not t or t[-1] == " " or self.inner_space(t):
                     whole[i] = t
                 else:
                     cuts[i] = t.split(" ")

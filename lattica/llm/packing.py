@@ -195,18 +195,18 @@ def pack(
 
     ``ids`` is binary, unsigned 32-bit little-endian.  ``range_mb`` is the input that goes
     to one range, ``sample_rows`` how many keys for each range the bounds are estimated
-    from.  Ranges number their own sequences: the range's number times 2**32, plus a count.
+    from; a task is a range, so a very large corpus takes larger ones.  Ranges number their own sequences: the range's number times 2**32, plus a count.
     """
     path = path or default_path()
     size = input_bytes(df, text_col)
-    parts = max(1, min(100_000, round(size / (range_mb * 1e6))))
+    parts = max(1, round(size / (range_mb * 1e6)))
     bounds: list[int] = []
     if parts > 1:
         # at about 2 KB a document this share gives sample_rows keys a range
         share = max(1, int(size / 2000 / (parts * sample_rows)))
         some = df.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)
         keys = tokenise(some, id_col=id_col, text_col=text_col, path=path, seed=seed)
-        found = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20_000).alias("q")).first()["q"]
+        found = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(20_000, 20 * parts)).alias("q")).first()["q"]
         bounds = sorted(set(found or []))
     rows = tokenise(df, id_col=id_col, text_col=text_col, path=path, seed=seed, bounds=bounds)
     dealt = rows.repartitionById(len(bounds) + 1, F.col("at"))

@@ -86,6 +86,10 @@ def word_patterns(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A neighbour's vote weighs its cosine to this power, so that the nearest decide; the label's share in the sample has this weight.
+POWER, SHRINK = 8, 0.1
+
+
 class Voter:
     """The fitted space, the labelled vectors and their labels."""
 
@@ -137,9 +141,9 @@ class Voter:
             cosine = vectors @ self.vectors.T
             k = self.neighbours
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.broadcast_to(np.arange(k), cosine.shape)
-            weight = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 0) ** 8
+            weight = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 0) ** POWER
             votes = (weight * self.labels[near]).sum(1)
-            out[a : a + len(part)] = (votes + 0.1 * self.prior) / (weight.sum(1) + 0.1)
+            out[a : a + len(part)] = (votes + SHRINK * self.prior) / (weight.sum(1) + SHRINK)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -156,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
     """Learn from at most ``sample_bound`` labelled rows outside the held-out fold, half of each label where there are enough.
 
     The rows are the first of each label in hash order of their ids; an id with several
-    labels counts once for each.
+    labels counts once for each, and of rows that repeat an id the least text is learnt from.
     """
     known = labels.select(long_id(id_col), F.col(label_col).cast("int").alias("__y")).where(F.col(id_col).isNotNull() & F.col("__y").isNotNull() & ~held_out(F.col(id_col)))
     per = sample_bound // 2
@@ -165,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
         some = known.where(F.col("__y") == y).select(id_col, "__y", F.xxhash64(id_col).alias("__h")).orderBy("__h", id_col).limit(per)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select(long_id(id_col), F.col(text_col).cast("string").alias("__t"))
-    rows = texts.join(F.broadcast(picked), id_col).select("__h", id_col, "__y", "__t")
+    # one text an id, so that repeated rows cannot pass the bound
+    rows = texts.join(F.broadcast(picked), id_col).groupBy("__h", id_col, "__y").agg(F.min("__t").alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -135,3 +135,57 @@ def test_separate_licenses_of_one_text(spark):
     got = {(r["doc_id"], r["license"]): r["first_word"] for r in found}
     assert set(got) == {(0, "Apache-2.0"), (0, "GPL-3.0"), (1, "Apache-2.0"), (1, "GPL-3.0"), (2, "Apache-2.0"), (2, "GPL-3.0"), (3, "GPL-3.0")}
     assert got[0, "GPL-3.0"] == 308 and got[1, "Apache-2.0"] == 309
+
+
+def brute_licenses(text, templates, containment=0.7):
+    """(license, share) of every template by places of its word pairs, runs and overlaps, without retrieval."""
+    words_of = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    words = words_of(text)
+    found = list(zip(words, words[1:]))
+    runs = []
+    for name, t in templates:
+        order = list(zip(words_of(t), words_of(t)[1:]))
+        own, size = set(order), len(set(order))
+        nth = {p: order.index(p) for p in own if order.count(p) == 1}
+        apart = max(license_scan.WINDOW, size // 4) if size > 63 else license_scan.WINDOW
+        run, last, before = [], None, None
+        for at, p in enumerate(found):
+            if p not in own:
+                continue
+            again = size <= 63 and p in nth and before is not None and 2 * (before - nth[p]) > size
+            if last is not None and (at - last > apart or again):
+                runs.append((name, size, run))
+                run = []
+            run, last, before = [*run, at], at, nth.get(p, before)
+        runs.append((name, size, run))
+    good = [(n, len({found[i] for i in run}), size, set(run)) for n, size, run in runs]
+    good = [(n, k / size, k * k / size, places) for n, k, size, places in good if k / size >= containment]
+    best = {}
+    for n, share, rank, places in good:
+        if not any(m != n and r > rank and 2 * len(places & p) > len(places) for m, _, r, p in good):
+            best[n] = max(best.get(n, 0), share)
+    return {(n, round(s, 4)) for n, s in best.items()}
+
+
+def test_scan_equals_a_scan_without_bands(spark):
+    """Documents, edited and adjacent notices, scattered words and a template of 200 lines, against brute force."""
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(400)]
+    fill = lambda n: [rng.choice(words) for _ in range(n)]
+    long = ("Long-1.0", "\n".join(" ".join(rng.choice(words[:300]) + rng.choice("abc") for _ in range(9)) for _ in range(200)))
+    templates = (*license_scan.TEMPLATES, *license_scan.HEADERS, long)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for name, t in templates:
+        parts = t.split()
+        for drop in (0, 1, 2):
+            kept = [w for i, w in enumerate(parts) if i not in set(rng.sample(range(len(parts)), min(drop, len(parts) - 2)))]
+            texts.append(" ".join(fill(rng.randrange(30)) + kept + fill(rng.randrange(12)) + rng.choice(templates[:-1])[1].split() + fill(5)))
+    scattered = "People are licensed under {0} the law of {0} The apache license plate {0} each license, version 2 plan {0} a version 2.0 of it"
+    texts += [scattered.format(" ".join(fill(n))) for n in (240, 40, 15)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got: dict = {}
+    for r in license_scan.scan(df, templates=templates).collect():
+        got.setdefault(r["doc_id"], set()).add((r["license"], round(r["containment"], 4)))
+    for i, t in enumerate(texts):
+        assert got.get(i, set()) == brute_licenses(t, templates), t[:200]
+    assert not any(got.get(len(texts) - k) for k in (1, 2, 3))

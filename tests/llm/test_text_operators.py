@@ -422,6 +422,40 @@ def test_classifier_never_sees_held_out_labels(spark):
     assert np.array_equal(a.labels, b.labels) and np.array_equal(a.vectors, b.vectors)
 
 
+def test_votes_equal_naive_cosines(spark):
+    """The blocked scores against one cosine at a time, and a repeated id that cannot pass the bound of the sample."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    copies = docs.unionByName(docs).unionByName(docs)
+    one, three = quality_classifier.fit(docs, labels, sample_bound=40), quality_classifier.fit(copies, labels, sample_bound=40)
+    assert len(one.labels) == len(three.labels) <= 40 and np.array_equal(one.vectors, three.vectors)
+    voter = quality_classifier.fit(docs, labels)
+    texts = [r["text"] for r in docs.limit(60).collect()] + ["", None]
+    expected = []
+    for t in texts:
+        row = np.zeros((1, len(voter.used)), np.float32)
+        voter._row(row, 0, quality_classifier.features(t))
+        x = (row @ voter.basis)[0].astype(float)
+        x /= np.linalg.norm(x) or 1
+        near = sorted(((float(x @ v), y) for v, y in zip(voter.vectors.astype(float), voter.labels, strict=True)), reverse=True)[: voter.neighbours]
+        weights = [max(c, 0) ** quality_classifier.POWER for c, _ in near]
+        expected.append((sum(w * y for w, (_, y) in zip(weights, near, strict=True)) + quality_classifier.SHRINK * voter.prior) / (sum(weights) + quality_classifier.SHRINK))
+    assert np.allclose(voter.score(texts, block=7), expected, atol=1e-4)
+
+
+def test_other_patterns_are_never_cut_at_spaces():
+    import regex
+    import tiktoken
+
+    pattern = r"[a-z]+ [a-z]+|\s+|\S+"
+    ranks = byte_bpe.read_ranks(byte_bpe.default_path())
+    codec = byte_bpe.ByteBpe(byte_bpe.default_path(), pattern)
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["two words here and there", " a b  c", "x y"]
+    assert regex.findall(pattern, texts[0])[0] == "two words"
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_many(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_classifier_edges(spark, docs, nothing):
     d = "/root/testdata/sf0.001"
     voter = quality_classifier.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
