@@ -29,8 +29,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of linked ones."""
     found = jaccard_join.jaccard_components(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = materialize(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")), "first")
+    kept = docs.join(first.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = first.where("rows > 1").select("doc_id")
+    if not repeated.isEmpty():  # only their texts are shuffled again
+        kept = kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
