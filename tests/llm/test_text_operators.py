@@ -374,6 +374,18 @@ def test_names_of_classes_do_not_decide():
         assert html_text.main_text(page, w) == text + f"\n\nTwo\n\n{prose[1]}"
 
 
+def test_all_words_of_long_blocks_count():
+    """More than 200 words at one end of a block tell otherwise than the rest of it."""
+    w = html_text.learn()
+    praise, prose = "thank you so much i love this great read ", "the bridge opened on monday after two years of work by the town "
+    story = f"<h1>Title here</h1><p>{prose * 400}</p>"
+    for some, most, kept in ((praise * 25, prose * 240, True), (prose * 20, praise * 1000, False)):
+        for text in ((some + most).strip(), (most + some).strip()):
+            for page in (f'<div class="zz">{story}</div><div class="qq"><p>{text}</p></div>', f"<main>{story}<section><p>{text}</p></section></main>", f"<article>{story}<div>{text}</div><p>{prose}</p></article>"):
+                assert (text in html_text.main_text(page, w)) == kept
+                assert html_text.main_text(page, w).startswith(f"Title here\n\n{prose}")
+
+
 def test_time_is_linear_in_nesting():
     w = html_text.learn()
     took = []
