@@ -77,6 +77,16 @@ def drop_tables(spark: SparkSession, *dfs: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def read_bytes(df: DataFrame) -> int:
+    """What df reads, in bytes; sources of unknown size count nothing.
+
+    Spark's own estimate multiplies the sizes of the two sides of a join.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 56)
+
+
 class Files:
     """Small files on the file system of a path."""
 
@@ -363,8 +373,7 @@ class Dataset:
         """Rows ranged by cell and sorted: row-group statistics stay tight and files about 128 MB, whatever the number of cells."""
         names = ["c" + a for a in self.schema.axes]
         inner = [c for c in ("bin", "oid", "seq", "vid") if c in placed.columns]
-        size = int(str(placed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        wanted = math.ceil(size / (128 << 20)) if size < 1 << 56 else 0
+        wanted = math.ceil(read_bytes(placed) / (128 << 20))
         if files or wanted > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
             ranged = placed.repartitionByRange(files or wanted, *names, *inner[-1:])
         else:  # adaptive execution joins small ranges

@@ -186,3 +186,14 @@ def test_reserved_ranges(spark):
     assert [(r["first"], r["end"]) for r in ranges.collect()] == [(0, 3), (3, 3), (3, 5)]
     df = spark.createDataFrame([(9.0,), (7.0,)], "x double")
     assert sorted((r["x"], r["oid"]) for r in place(df, 2, ranges, ["x"]).collect()) == [(7.0, 3), (9.0, 4)]
+
+
+def test_joined_rows_are_ranged_by_what_they_read(spark, tmp_path):
+    v = spark.range(20_000).selectExpr("id AS vid", "id % 7000 AS oid", "id % 7000 * 1.0D AS x", "id * 1.0D AS y", "id * 0.5D AS w")
+    v.write.parquet(f"file://{tmp_path}/v")
+    stored = spark.read.parquet(f"file://{tmp_path}/v")
+    names = stored.groupBy("oid").count()
+    ds = Dataset.create(spark, f"file://{tmp_path}/ds", Schema("point_cloud", ("x", "y"), (10.0, 10.0)))
+    joined = ds.clustered(ds.placed(stored.join(stored.selectExpr("vid", "w AS other"), "vid").join(names, "oid")))
+    assert joined.rdd.getNumPartitions() <= 4  # the product of the sizes asks for hundreds
+    assert joined.count() == 20_000
