@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import forest
+
 
 def induced(nodes: DataFrame, edges: DataFrame, vid: str = "vid") -> DataFrame:
     """Edges with both ends among the nodes; repeated edges stay."""
@@ -128,7 +130,8 @@ def per_tree(parents: DataFrame, walk: Callable[[pd.DataFrame], pd.DataFrame], s
 def depth_first(parents: DataFrame, oid: str = "oid") -> DataFrame:
     """``rank`` of each node in depth-first order: roots and children by id; nodes of cycles come last, by id.
 
-    ``parents``: oid, child, parent (null for roots).
+    ``parents``: oid, child, parent (null for roots).  Small trees are walked by one task
+    each, larger ones are contracted by rounds (see forest).
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +150,19 @@ def depth_first(parents: DataFrame, oid: str = "oid") -> DataFrame:
         order += sorted(set(rows["child"]) - seen)
         return pd.DataFrame({oid: rows[oid].iloc[0], "vid": order, "rank": range(len(order))})
 
-    return per_tree(parents, walk, f"{oid} long, vid long, rank long", oid)
+    small, large = forest.split(parents, oid)
+    out = per_tree(small, walk, f"{oid} long, vid long, rank long", oid)
+    if large is None:
+        return out
+    found = forest.ranks(large)
+    reached = found.where("rank is not null")
+    rest = found.where("rank is null")  # of cycles
+    if not rest.isEmpty():
+        numbered = rest.withColumn("rank", (F.row_number().over(W.partitionBy("o").orderBy("v")) - 1).cast("long"))
+        before = reached.groupBy("o").agg(F.count("*").alias("n"))
+        last = numbered.join(before, "o", "left").withColumn("rank", F.col("rank") + F.coalesce("n", F.lit(0))).drop("n")
+        reached = reached.unionByName(last)
+    return out.unionByName(reached.select(F.col("o").alias(oid), F.col("v").alias("vid"), "rank"))
 
 
 def maximal_paths(parents: DataFrame, oid: str = "oid") -> DataFrame:
@@ -176,4 +191,17 @@ def maximal_paths(parents: DataFrame, oid: str = "oid") -> DataFrame:
             paths += 1
         return pd.DataFrame(out, columns=[oid, "path", "seq", "vid", "branch_of"]).astype({"branch_of": "Int64"})
 
-    return per_tree(parents, walk, f"{oid} long, path long, seq long, vid long, branch_of long", oid)
+    from .points import prefix_sums
+
+    small, large = forest.split(parents, oid)
+    out = per_tree(small, walk, f"{oid} long, path long, seq long, vid long, branch_of long", oid)
+    if large is None:
+        return out
+    # a path lies without gaps in depth-first order, and so its number is that of the heads before it
+    found = forest.ranks(large).where("rank is not null").withColumn("head", F.when(F.col("first"), 0).otherwise(1))
+    counted = prefix_sums(found, ["o", "rank"], F.col("head"), "path").withColumn("path", F.col("path") + F.col("head"))
+    base = counted.where("rank = 0").select("o", F.col("path").alias("__base"))
+    heads = counted.where("head = 1").select("o", "path", F.col("rank").alias("__head"))
+    rows = counted.join(heads, ["o", "path"]).join(base, "o")
+    branch = F.when(F.col("head") == 1, F.col("q")).alias("branch_of")
+    return out.unionByName(rows.select(F.col("o").alias(oid), (F.col("path") - F.col("__base")).alias("path"), (F.col("rank") - F.col("__head")).alias("seq"), F.col("v").alias("vid"), branch))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,33 @@ def test_depth_first_and_paths(spark):
     assert [(r["path"], r["vid"], r["branch_of"]) for r in found] == [(0, 0, None), (0, 1, None), (0, 2, None), (1, 4, 1), (2, 3, 0)]
 
 
+def test_large_trees_are_contracted(spark, monkeypatch):
+    rng = random.Random(5)
+    up = {0: None, **{v: rng.randrange(v) for v in range(1, 40)}, **{v: v - 1 for v in range(40, 90)}, 200: 201, 201: 202, 202: 200, 203: 202, 204: 999}
+    small = [(2, v, v - 1 if v else None) for v in range(5)]
+    df = spark.createDataFrame([(1, v, p) for v, p in up.items()] + small, "oid long, child long, parent long")
+    order, paths, stack = [], [], [(0, None)]
+    while stack:
+        v, above = stack.pop()
+        paths.append([above])
+        while v is not None:
+            order.append(v)
+            paths[-1].append(v)
+            below = sorted(c for c, p in up.items() if p == v)
+            stack += [(c, v) for c in below[:0:-1]]
+            v = below[0] if below else None
+    walked, per_tree = [], links.per_tree
+    monkeypatch.setattr(links.forest, "TREE_ROWS", 12)
+    monkeypatch.setattr(links, "per_tree", lambda df, *a: walked.append(df.groupBy("oid").count().agg({"count": "max"}).first()[0]) or per_tree(df, *a))
+    found = links.depth_first(df).collect()
+    assert [r["vid"] for r in sorted(found, key=lambda r: r["rank"]) if r["oid"] == 1] == order + [200, 201, 202, 203, 204]
+    assert sorted(r["rank"] for r in found if r["oid"] == 1) == list(range(len(up)))
+    assert [r["vid"] for r in sorted(found, key=lambda r: r["rank"]) if r["oid"] == 2] == [0, 1, 2, 3, 4]
+    rows = links.maximal_paths(df).where("oid = 1").orderBy("path", "seq").collect()
+    assert [(r["path"], r["seq"], r["vid"], r["branch_of"]) for r in rows] == [(k, i, v, p[0] if i == 0 else None) for k, p in enumerate(paths) for i, v in enumerate(p[1:])]
+    assert max(walked) <= 12
+
+
 def test_fragment_owner_sentinels(spark):
     man = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 0, 1)], "oid long, c long, frag long")
     frags = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "c long, frag long")
