@@ -47,11 +47,17 @@ def faces_within(vertices: DataFrame, faces: DataFrame, width: int | None = None
     return faces.join(whole.select("face"), "face", "left_semi")
 
 
+def placed_ends(faces: DataFrame, vertices: DataFrame, columns: Sequence[str], vid: str = "vid") -> DataFrame:
+    """``face, __v`` and columns of the vertex for each end, a face's ends together: minima of structs sort their rows, so a task gets a bounded part."""
+    from lattica.sources.store import by_key
+
+    ends = faces.select("face", F.explode("ends").alias("__v"))
+    return by_key(ends.join(vertices.select(F.col(vid).alias("__v"), *columns), "__v"), "face")
+
+
 def owner_cell(faces: DataFrame, vertices: DataFrame, cells: Sequence[str] = ("cx", "cy", "cz"), vid: str = "vid") -> DataFrame:
     """The cell that owns each face: that of its lexicographically least end by (cell, vid)."""
-    ends = faces.select("face", F.explode("ends").alias("__v"))
-    placed = ends.join(vertices.select(F.col(vid).alias("__v"), *cells), "__v")
-    least = placed.groupBy("face").agg(F.min(F.struct(*cells, "__v")).alias("m"))
+    least = placed_ends(faces, vertices, cells, vid).groupBy("face").agg(F.min(F.struct(*cells, "__v")).alias("m"))
     return least.select("face", *(F.col(f"m.{c}").alias(c) for c in cells))
 
 
@@ -78,8 +84,7 @@ def restored(sorted_ends: str = "sorted") -> Column:
 
 def placements(faces: DataFrame, vertices: DataFrame, cells: Sequence[str] = ("cx", "cy", "cz"), vid: str = "vid") -> DataFrame:
     """A row for each face and distinct cell of its ends: where a duplicating store keeps copies."""
-    ends = faces.select("face", F.explode("ends").alias("__v"))
-    return ends.join(vertices.select(F.col(vid).alias("__v"), *cells), "__v").select("face", *cells).distinct()
+    return placed_ends(faces, vertices, cells, vid).select("face", *cells).distinct()
 
 
 def within_cells(faces: DataFrame, vertices: DataFrame, accepted: Column, every: bool = True, cells: Sequence[str] = ("cx", "cy", "cz"), vid: str = "vid") -> DataFrame:

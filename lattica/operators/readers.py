@@ -27,9 +27,10 @@ def owned_patch(faces: DataFrame, vertices: DataFrame, cells: DataFrame, names:
 
 def owner_bounds(faces: DataFrame, vertices: DataFrame, axes: Sequence[str] = grid.AXES, names: Sequence[str] = CELL, vid: str = "vid") -> DataFrame:
     """The box around all vertices of the faces that a cell owns."""
-    owners = L.owner_cell(faces, vertices, names, vid)
-    ends = faces.select("face", F.explode("ends").alias(vid)).join(vertices.select(vid, *axes), vid)
-    return ends.join(owners, "face").groupBy(*names).agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
+    bounds = [(f"{n}_{a}", f, a) for a in axes for n, f in (("min", F.min), ("max", F.max))]
+    ends = L.placed_ends(faces, vertices, list(dict.fromkeys((*names, *axes))), vid)
+    each = ends.groupBy("face").agg(F.min(F.struct(*names, "__v")).alias("m"), *(f(a).alias(b) for b, f, a in bounds))
+    return each.groupBy(*(F.col(f"m.{c}").alias(c) for c in names)).agg(*(f(b).alias(b) for b, f, _ in bounds))
 
 
 def skeleton_by_segment(objects: DataFrame, vertices: DataFrame, records: DataFrame, segment: int, axes: Sequence[str] = grid.AXES, offset: Sequence[float] | None = None, fragment: Sequence[str] = (*CELL, "frag")) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions import grid
+from lattica.sources.store import by_key
 
 #: Cell sizes of the large and of the dense point cloud.
 CELL_LARGE = (10.0, 2.0, 2.0)
@@ -102,7 +103,8 @@ def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each three consecutive lines of an order as a triangle; a part may be named twice."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     ends = F.array("l_partkey", F.lead("l_partkey", 1).over(w), F.lead("l_partkey", 2).over(w))
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.row_number().over(w)).alias("face"), ends.alias("ends"))
+    items = by_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    rows = items.select((F.col("l_orderkey") * 100 + F.row_number().over(w)).alias("face"), ends.alias("ends"))
     return rows.where(F.col("ends")[2].isNotNull())
 
 

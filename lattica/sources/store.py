@@ -87,6 +87,16 @@ def read_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 56)
 
 
+#: Bytes of files behind one partition of by_key().
+PART_BYTES = 4 << 20
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in so many partitions that what a task sorts does not grow with what df reads, whatever the session's number."""
+    parts = math.ceil(read_bytes(df) / PART_BYTES)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 class Files:
     """Small files on the file system of a path."""
 

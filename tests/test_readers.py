@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import layout, readers
+from lattica.operators import layout, links, readers
 
 
 def test_append_rules_fail_the_job(spark):
@@ -58,3 +58,25 @@ def test_entry_and_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(known) and len(known) > 100
+
+
+def test_ends_of_faces_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    from lattica.sources import store
+
+    monkeypatch.setattr(store, "PART_BYTES", 2_000)
+    spark.range(600).selectExpr("id AS face", "array(id % 89, id * 7 % 89, id * 31 % 89) AS ends").write.parquet(f"file://{tmp_path}/f")
+    faces = spark.read.parquet(f"file://{tmp_path}/f")
+    v = spark.createDataFrame([(i, i % 7, i % 3, float(i % 7) + 0.5, float(i)) for i in range(89)], "vid long, cx long, cy long, x double, y double")
+    at = {r["vid"]: r for r in v.collect()}
+    own, copies, box = {}, set(), {}
+    for r in faces.collect():
+        ends = [at[e] for e in r["ends"]]
+        own[r["face"]] = min((e["cx"], e["cy"], e["vid"]) for e in ends)[:2]
+        copies |= {(r["face"], e["cx"], e["cy"]) for e in ends}
+        box.setdefault(own[r["face"]], []).extend(e["y"] for e in ends)
+    owners, placed = links.owner_cell(faces, v, ("cx", "cy")), links.placements(faces, v, ("cx", "cy"))
+    assert {r["face"]: (r["cx"], r["cy"]) for r in owners.collect()} == own
+    assert {tuple(r) for r in placed.collect()} == copies
+    found = readers.owner_bounds(faces, v, "xy", ("cx", "cy")).collect()
+    assert {(r["cx"], r["cy"]): (r["min_y"], r["max_y"]) for r in found} == {k: (min(y), max(y)) for k, y in box.items()}
+    assert min(df.rdd.getNumPartitions() for df in (owners, placed)) > 4  # the session's number
