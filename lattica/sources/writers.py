@@ -15,7 +15,7 @@ from lattica.functions import grid
 from lattica.operators import links as L
 from lattica.operators import objects as O
 from lattica.operators import paths, points, readers
-from lattica.sources.store import PARAMETRIC, Dataset, StoreError, materialize, parametric
+from lattica.sources.store import PARAMETRIC, Dataset, StoreError, by_key, materialize, parametric
 from lattica.streaming.ingest import Appender, LinkAppender
 
 
@@ -72,7 +72,7 @@ def read_mesh(ds: Dataset, level: int = 0, **terms) -> tuple[DataFrame, DataFram
     kept = points.number_rows(ds.level(level).select(**terms).dataframe(), ["vid"], "row")
     faces = L.faces_within(kept, ds.table("faces", level=level))
     ends = faces.select("face", F.posexplode("ends").alias("pos", "vid")).join(kept.select("vid", "row"), "vid")
-    rows = ends.groupBy("face").agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("r"))
+    rows = by_key(ends, "face").groupBy("face").agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("r"))
     return kept, faces.join(rows.select("face", F.expr("transform(r, x -> x.row)").alias("rows")), "face")
 
 
