@@ -286,11 +286,17 @@ def nearest_in_cell(targets: DataFrame, vertices: DataFrame, axes: Sequence[str]
     """
     names = ["c" + a for a in axes]
     d2 = sum(((F.col(a).cast("double") - F.col("t" + a).cast("double")) * (F.col(a).cast("double") - F.col("t" + a).cast("double")) for a in axes), F.lit(0.0))
-    pairs = targets.select("tid", *names, *("t" + a for a in axes)).join(vertices.select("vid", *names, *axes), names)
-    if others:
-        pairs = pairs.where("vid <> tid")
-    best = pairs.select("tid", F.struct(d2.alias("d2"), F.col("vid")).alias("m")).groupBy("tid").agg(F.min("m").alias("m"))
-    found = best.select("tid", F.col("m.vid").alias("vid"), F.col("m.d2").alias("d2"))
+    candidates = vertices.select("vid", *names, *axes)
+    wanted = targets.select("tid", *names, *("t" + a for a in axes))
+
+    def pairs(near: DataFrame) -> DataFrame:
+        both = near.join(candidates, names)
+        return both.where("vid <> tid") if others else both
+
+    # numbers alone are aggregated by hash: minima of structs would sort all pairs, which grow as the square of a cell
+    least = pairs(wanted).select("tid", d2.alias("d2")).groupBy("tid").agg(F.min("d2").alias("d2"))
+    best = pairs(wanted.join(least, "tid")).where(d2 == F.col("d2"))
+    found = best.groupBy("tid").agg(F.min("vid").alias("vid"), F.min("d2").alias("d2"))
     if tol is None:
         return found
     near = F.when(F.col("d2") <= float(tol) ** 2, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no vertex near target "), F.col("tid").cast("string"))).cast("boolean"))

@@ -245,3 +245,12 @@ def test_validation_finds_planted_faults(spark):
     assert [r["detail"] for r in validate.not_finite(v, "x").collect()] == ["1"]
     assert "2" in [r["detail"] for r in validate.misplaced(v, (1.0,), "x").collect()]
     assert validate.conventions("mesh", {2, 3}, True) and not validate.conventions("mesh", {3}, True)
+
+
+def test_nearest_in_cell_never_sorts_pairs(spark):
+    rows = [(i, 0, float(i // 2 % 5)) for i in range(20)]
+    v = spark.createDataFrame(rows, "vid long, cx long, x double")
+    found = points.nearest_in_cell(v.selectExpr("vid AS tid", "cx", "x + 0.25 AS tx"), v, ("x",), others=True)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = {i: min(((x + 0.25 - y) ** 2, j) for j, _, y in rows if j != i)[::-1] for i, _, x in rows}
+    assert {r["tid"]: (r["vid"], r["d2"]) for r in found.collect()} == expected
